@@ -82,7 +82,7 @@ def fit_rates(table: DataFrame, targets: list[float], *, most_rate: float | None
             pushed = pushed - F.get("p", F.lit(d)) * (step * g)
         rate = F.greatest(F.lit(0.0), pushed if most_rate is None else F.least(F.lit(float(most_rate)), pushed))
         if n % 10 == 9:
-            table = stored(table.drop("_rate").withColumn("_rate", rate), "rates")
+            table = stored(table.withColumn("_rate", rate), "rates")
             rate = F.col("_rate")
     return table.withColumn("rate", rate).drop("_rate")
 
