@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm import exact_dedup, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity
+from tidefold.llm import exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity
 from tidefold.llm.common import read
 
 
@@ -36,11 +36,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(read(spark, sf_dir, "documents"))
+
+
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_query(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality)}
 
 _SECRETS = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
