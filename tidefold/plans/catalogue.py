@@ -515,3 +515,28 @@ add("covariance_ellipse", ellipse, f"WITH {_EIG} SELECT l_suppkey, {rs('2 * sqrt
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the extended filter of every user's series."""
     return QUERIES["epkf_pairwise_param"](spark, sf)
+
+
+# --- streaming --------------------------------------------------------------------------------------------------------
+
+
+def stream_steps(spark: SparkSession, sf: str, model: Model, method: str) -> DataFrame:
+    """The events as a stream, through the filter, into Parquet in the shared folder."""
+    from tidefold.sources.scratch import scratch
+    from tidefold.streaming.filters import run_available, stream_filter
+
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    y = (F.col("value") - 20) / 20
+    # A pattern, so that a single file does as well as a folder of them.
+    live = observations(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"), "user_id", ["ts", "event_id"], [y])
+    out = run_available(stream_filter(live, model, method), scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return flat(out, model, extra=False)
+
+
+def _stream_sql(model: Model, method: str) -> str:
+    return f"SELECT user_id, k, x_0, p_0_0 FROM ({flat_sql(model, method)})"
+
+
+for _how in ("epkf", "upkf"):
+    add(f"stream_{_how}", lambda s, d, h=_how: stream_steps(s, d, _PARAM, h), _stream_sql(_PARAM, _how))
