@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,93 +26,97 @@ _KIND[[44, 46]] = 3
 
 
 class Tokens:
-    """Token ids of texts: each distinct unit of a batch is encoded once.
+    """Token ids of texts: each distinct unit of a run of texts is encoded once, and frequent units once for a process.
 
     Units are cut at blanks, and between an ASCII letter and a full stop or comma, where the tokenizer always cuts.
     Texts that hold a special token's name are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Ids of the first units seen, as bytes; the bound is on their number.
+        self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each unit. Units of letters only are one piece of the tokenizer's own splitting, so many are encoded as one text and told apart by their last tokens."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        rest = [i for i, w in enumerate(words) if not w.isalpha()]
-        groups = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
-        for a in range(0, len(groups), 64):
-            some = groups[a : a + 64]
-            for group, ids in zip(some, self._whole([" ".join([words[i] for i in g]) for g in some]), strict=True):
+    def units(self, words: list[str]) -> list[bytes]:
+        """Ids of each unit, as bytes. Units of letters only are one piece of the tokenizer's own splitting, so many are encoded as one text and told apart by their last tokens."""
+        out: list[bytes] = [self.known.get(w) for w in words]  # type: ignore[misc]
+        new = [i for i, x in enumerate(out) if x is None]
+        plain = [i for i in new if words[i].isalpha()]
+        rest = [i for i in new if not words[i].isalpha()]
+        for a in range(0, len(plain), 8000):
+            groups = [plain[k : k + 1000] for k in range(a, min(a + 8000, len(plain)), 1000)]
+            for group, ids in zip(groups, self._whole([" ".join([words[i] for i in g]) for g in groups]), strict=True):
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(group):
-                    at = [0, *ends.tolist()]
+                    raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
                     for n, i in enumerate(group):
-                        out[i] = ids[at[n] : at[n + 1]]
+                        out[i] = raw[at[n] : at[n + 1]]
                 else:
                     rest += group
         for a in range(0, len(rest), 4096):
             for i, ids in zip(rest[a : a + 4096], self._whole([words[i] for i in rest[a : a + 4096]]), strict=True):
-                out[i] = ids
+                out[i] = ids.tobytes()
+        room = self.remembered - len(self.known)
+        if room > 0:
+            self.known.update((words[i], out[i]) for i in new[:room] if len(words[i]) <= 32)
         return out
 
     def of(self, texts: pa.Array):
         """Yields (first row, ids, first id of each row and one more) of runs of texts; each text ends with END_ID."""
-        runs = []
-        for a, b, raw, offsets in text_runs(texts):
+        for a, b, raw, offsets in text_runs(texts, 2 << 20):
             data = LOWER[raw]
             w = Words(data, offsets, NON_BLANK_BYTES)
             kind = _KIND[data]
-            cut = kind[:-1] * 4 + kind[1:] if len(kind) else kind
-            cuts = np.flatnonzero((cut == 11) | (cut == 14)) + 1
-            cuts = cuts[~np.isin(cuts, offsets)]
+            pair = kind[:-1] * 4 + kind[1:] if len(kind) else kind
+            border = np.zeros(len(data) + 1, bool)
+            border[offsets] = True
+            cuts = np.flatnonzero((pair == 11) | (pair == 14)) + 1
+            cuts = cuts[~border[cuts]]
             starts, ends = np.sort(np.concatenate((w.starts, cuts))), np.sort(np.concatenate((w.ends, cuts)))
             size = np.concatenate(([0], np.cumsum(ends - starts)))
             letters = np.ascontiguousarray(data[kind > 0])
-            strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(size.astype(np.int64)), pa.py_buffer(letters))
-            runs.append((a, b, strings, np.searchsorted(starts, offsets), b"<|" in raw.tobytes() and raw.tobytes()))
-        if not runs:
-            return
-        coded = pa.chunked_array([r[2] for r in runs], pa.large_string()).dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        known = self.units(coded.dictionary.to_pylist())
-        length = np.array([len(x) for x in known], np.int64)
-        begin = np.concatenate(([0], np.cumsum(length)))
-        flat = np.concatenate(known) if known else np.empty(0, np.uint32)
-        codes = coded.indices.to_numpy()
-        done = 0
-        for a, b, strings, first, special in runs:
-            own = codes[done : done + len(strings)]
-            done += len(strings)
+            coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(size.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
+            known = self.units(coded.dictionary.to_pylist())
+            length = np.array([len(x) for x in known], np.int64) // 4
+            begin = np.concatenate(([0], np.cumsum(length)))
+            flat = np.frombuffer(b"".join(known), np.uint32)
+            own = coded.indices.to_numpy()
             n = length[own]
             before = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(begin[own] - before[:-1], n) + np.arange(before[-1])]
-            edges = before[first]
-            if special:
+            at = np.arange(before[-1])
+            at += np.repeat(begin[own] - before[:-1], n)
+            ids = flat[at]
+            edges = before[np.searchsorted(starts, offsets)]
+            if b"<|" in (whole := raw.tobytes()):
                 rows = [ids[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                for k in range(a, b):
-                    text = texts[k].as_py() or ""
-                    if "<|" in text:
-                        rows[k - a] = self._whole([text])[0]
+                for k in range(b - a):
+                    part = whole[offsets[k] : offsets[k + 1]]
+                    if b"<|" in part:
+                        rows[k] = self._whole([part.decode()])[0]
                 edges = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
                 ids = np.concatenate(rows)
             # One END_ID after each text.
             out = np.empty(len(ids) + b - a, np.uint32)
-            place = np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(edges))
-            out[place] = ids
+            out[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(edges))] = ids
             out[edges[1:] + np.arange(b - a)] = END_ID
             yield a, out, edges + np.arange(b - a + 1)
 
 
+@lru_cache(maxsize=1)
+def tokens(path: str) -> Tokens:
+    """One for a process, however many tasks it runs."""
+    return Tokens(path)
+
+
 def pack(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int, int]]:
     """(row, start, length, sequence, offset, window) of pieces that cover all rows; every sequence fills its window, a power of two.
 
@@ -198,12 +203,12 @@ def packed(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"] + ["ids"] * with_ids
 
     def run(batches):
-        tokens = Tokens(tokenizer)
+        encoder = tokens(tokenizer)
         task, begun, groups = TaskContext.get().partitionId() << 40, 0, 0
         for batch in batches:
             if not len(batch):
                 continue
-            runs = list(tokens.of(batch.column(1)))
+            runs = list(encoder.of(batch.column(1)))
             edges = np.concatenate([r[2][:-1] + sum(len(x[1]) for x in runs[:i]) for i, r in enumerate(runs)] + [[sum(len(r[1]) for r in runs)]]).astype(np.int64)
             ids = np.concatenate([r[1] for r in runs])
             lengths = np.diff(edges)
