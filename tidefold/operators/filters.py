@@ -27,7 +27,7 @@ def observations(df: DataFrame, key: Column | str, order: list[Column | str], y:
 
 def streams_of(keys: list, seed: int = 0) -> np.ndarray:
     """A random stream for each key, the same on every machine."""
-    return np.array([int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little") for k in keys], np.uint64)
+    return np.array([int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little") for k in keys], np.uint64)
 
 
 class Fold:

@@ -31,7 +31,7 @@ def encoding_of(spark: SparkSession, path: str, size: int = 50_000) -> str:
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("head")).first()["head"])
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16"
-    for cut in range(4):  # a character may be cut at the end
+    for cut in range(4 if len(head) == size else 1):  # a character may be cut at the end
         try:
             head[: len(head) - cut].decode("utf-8")
             return "utf-8"
