@@ -155,7 +155,7 @@ def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, *, rank: in
 def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: int = 6, epochs: int = 20, l2: float = 1e-4, least_z: float = 4.0) -> Machine:
     """A machine fitted on a bounded sample (label 0 or 1, text).
 
-    Bins are screened by the z value of their log odds over the whole sample; the most_bins strongest remain. Training is
+    Bins are screened by how far their labels are from the sample's (a likelihood ratio, as a z value); the most_bins strongest remain. Training is
     one task over the screened bins of the sample. No rows: a machine that scores 0.5.
     """
 
@@ -172,8 +172,10 @@ def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: i
         return Machine(features, np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, rank)))
     p, m = float(total["p"]), float(total["n"] - total["p"])
     counts = rows.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 4").withColumn("b", F.col("n") - F.col("a"))
-    odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (m + 1))
-    z = F.abs(odds) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    # The root of the likelihood-ratio statistic, which also holds where a bin comes with one label only.
+    n, both = F.col("n"), p + m
+    part = lambda x, of: F.when(x > 0, x * F.log(x * both / (n * max(of, 0.5)))).otherwise(0.0)
+    z = F.sqrt(F.greatest(2 * (part(F.col("a"), p) + part(F.col("b"), m)), F.lit(0.0)))
     top = counts.select("bin", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bin").limit(most_bins)
     bins = np.array(sorted(r["bin"] for r in top.collect()), np.int64)
 
