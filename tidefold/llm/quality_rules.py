@@ -69,8 +69,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     quartiles = F.struct(*[f"_q_{m}" for m, _, _ in METRICS])
     own = levels.where("_level = 0").select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.when(F.col("_n") >= least_rows, quartiles).alias("_own"))
     wide = levels.where("_level = 1").select(F.col("_lang").alias("_wl"), F.when(F.col("_n") >= least_rows, quartiles).alias("_wide"))
-    every = levels.where("_level = 3").select(quartiles.alias("_every"))
-    cuts = own.join(wide, F.col("_l").eqNullSafe(F.col("_wl")), "left").crossJoin(every).select("_l", "_s", F.coalesce("_own", "_wide", "_every").alias("_cut"))
+    # The one row of everything: a few numbers.
+    top = levels.where("_level = 3").select(*[f"_q_{m}" for m, _, _ in METRICS]).first()
+    every = [F.struct(*[F.array(*map(F.lit, q)).alias(f"_q_{m}") for (m, _, _), q in zip(METRICS, top, strict=True)])] if top else []
+    cuts = own.join(wide, F.col("_l").eqNullSafe(F.col("_wl")), "left").select("_l", "_s", F.coalesce("_own", "_wide", *every).alias("_cut"))
     judged = stats.join(cuts, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     outside = F.lit(0)
     for name, least, low_too in METRICS:
