@@ -18,6 +18,8 @@ SPACE = "▁"
 HEAD = 1 << 17
 #: Weight, in pieces, of the prior that the vocabulary's own order gives.
 PRIOR = 32_000.0
+#: Bytes of whole texts that a task takes apart at once; what it holds is a small multiple of this or of its longest text.
+RUN_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -117,6 +119,16 @@ def lattice_scores(words: list[bytes], logp: np.ndarray, path: str) -> np.ndarra
     return out
 
 
+def _runs(batch: pa.RecordBatch):
+    """Copies of runs of whole rows with about RUN_BYTES of text, which is column 1; the string kernels misread slices."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN_BYTES, "right")))
+        yield batch.take(pa.array(np.arange(at, end)))
+        at = end
+
+
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words of all texts, A-Z in lower case, as large strings; row of each)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
@@ -150,7 +162,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
     base = base.withColumn("_train", F.coalesce(train, F.lit(False)) if train is not None else F.lit(True))
 
     def counted(batches):
-        for batch in batches:
+        for batch in (run for whole in batches for run in _runs(whole)):
             words, row = _words(batch.column(1))
             coded = words.dictionary_encode()
             codes, n = coded.indices.to_numpy(), len(coded.dictionary)
@@ -205,7 +217,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
         names = pa.array(names, pa.large_string())
         worth = np.log10((c + 0.5) / unit)
         row_id = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (run for whole in batches for run in _runs(whole)):
             m = len(batch)
             words, row = _words(batch.column(1))
             coded = words.dictionary_encode()
