@@ -231,7 +231,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
             edges = np.searchsorted(both >> 32, np.arange(m + 1))
             rare = coded.dictionary.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string())
             lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x) for x in (rare, pa.array(often.astype(np.int32)))]
-            columns = [pa.array(row_id + np.arange(m)), batch.column(0), pa.array(np.bincount(row, minlength=m).astype(np.int64)), pa.array(np.bincount(r, c[k] > 0, m).astype(np.int64)), pa.array(np.bincount(r, worth[k], m)), pa.array(np.bincount(r, p[k], m)), *lists]
+            columns = [pa.array(row_id + np.arange(m)), batch.column(0), pa.array(np.bincount(row, minlength=m).astype(np.int64)), pa.array(np.bincount(r, c[k] > 0, m).astype(np.int64)), pa.array(np.bincount(r, worth[k], m).astype(float)), pa.array(np.bincount(r, p[k], m).astype(float)), *lists]
             row_id += m
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "known", "base", "logp", "words", "often"])
 
