@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import BLANKS, stored
 
+#: Groups of at least 1/HOT of all rows, of which there are at most HOT, are broadcast; so none of the others is large.
+HOT = 10_000
+
 
 def normalised(text: Column) -> Column:
     """Each run of blanks as one space; null as the empty text."""
@@ -19,7 +22,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows are first grouped by length, groups of two or more by the hash of their first prefix_chars characters, and only
     what is left in groups of two or more is hashed whole. Only these short keys are shuffled, never texts. The keys of
     surviving groups are broadcast if there are at most broadcast_keys; beyond that nearly every text survives, and all
-    are hashed in the scan.
+    are hashed in the scan. Rows of large groups find their group by broadcast, rows of small ones by a shuffle.
 
     Null texts equal empty ones; a null id is kept only if no equal text has an id. If an id is repeated with the same
     text, its rows count one by one in group_size and are all kept when that id stays. Other columns of docs, whatever
@@ -30,18 +33,22 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same_length = keys.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_len")
     alive = keys.join(same_length, "_len", "left_semi").where("_n > 1").select(F.col("_len").alias("_l"), F.col("_prefix").alias("_p"))
     few = alive.limit(broadcast_keys + 1).count() <= broadcast_keys
-    whole = F.sha2(F.col("_norm"), 256)
+    survives = F.lit(True)
     if few:
         base = base.join(F.broadcast(alive), (F.length("_norm") == F.col("_l")) & (F.xxhash64(F.substring("_norm", 1, prefix_chars)) == F.col("_p")), "left")
-        base = base.withColumn("_full", F.when(F.col("_l").isNotNull(), whole))
-    else:
-        base = base.withColumn("_full", whole)
-    out = ["_id", F.coalesce("_full", F.concat(F.lit("only "), F.coalesce(F.col("_id").cast("string"), F.lit("")))).alias("_key")]
-    rows = base.select(*out, *([whole.alias("text_sha256")] if digest else []))
-    groups = base.where("_full is not null").groupBy(F.col("_full").alias("_key")).agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    found = rows.join(groups, "_key", "left")
+        survives = F.col("_l").isNotNull()
+    whole = F.sha2(F.col("_norm"), 256)
+    rows = stored(base.select("_id", survives.alias("_survives"), (whole if digest else F.when(survives, whole)).alias("_full")), "dedup-rows")
+
+    shared = rows.where("_survives")
+    groups = stored(shared.groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "dedup-groups")
+    least = (keys.agg(F.sum("_n")).first()[0] or 0) / HOT
+    hot, cold = F.broadcast(groups.where(F.col("_size") >= least)), groups.where(F.col("_size") < least)
+    none = [F.lit(None).cast(t).alias(c) for c, t in groups.dtypes[1:]]
+    parts = [rows.where("not _survives").select("*", *none), shared.join(hot, "_full"), shared.join(hot, "_full", "left_anti").join(cold, "_full", "left")]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *(["text_sha256"] if digest else []))
+    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *([F.col("_full").alias("text_sha256")] if digest else []))
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
