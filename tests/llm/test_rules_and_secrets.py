@@ -37,6 +37,25 @@ def test_cutoffs_follow_the_group(spark):
     assert all(got[i] for i in range(250)) and got[1000] and not got[5000]
 
 
+def test_cutoffs_come_from_the_sketches(spark):
+    """Short words, and repeats that only another source has, are outside though both lie far within the old fixed reach."""
+    word = lambda k, j, n: f"{k}x{j}".ljust(n, "y")[:n]
+    plain = lambda k, n: " ".join(word(k, j, n) for j in range(100))
+    # A text that begins with times copies of one three-word window.
+    again = lambda k, times: " ".join(["a11111111", "b22222222", "c33333333"] * times + [word(k, j, 9) for j in range(100 - 3 * times)])
+    rows = [(i, plain(i, 9 + i % 2), "en", "forum") for i in range(200)] + [(1000 + i, again(i, 2 + i % 3), "en", "forum") for i in range(100)]
+    rows += [(2000 + i, plain(i, 9 + i % 2), "en", "news") for i in range(200)] + [(3000 + i, again(i, 8 + i % 3), "en", "news") for i in range(100)]
+    rows += [(9000, plain(7, 5), "en", "news"), (9001, plain(8, 14), "en", "news"), (9002, again(9, 11), "en", "forum"), (9003, again(9, 11), "en", "news")]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and all(got[i]["kept"] for i in got if i < 9000)
+    assert [got[i]["kept"] for i in (9000, 9001, 9002, 9003)] == [False, False, False, True]
+
+
+def test_all_rows_may_fail_the_base_rules(spark):
+    rows = quality_rules(spark.createDataFrame([(1, "too short", "en", "a"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(rows) == 2 and not any(r["kept"] for r in rows)
+
+
 def check_secrets(df):
     got = {r["doc_id"]: r for r in secret_scan(df).collect()}
     for r in df.select("doc_id", "text").collect():

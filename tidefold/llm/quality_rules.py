@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import BLANKS, stored
 
-#: metric, its least spread, whether low values fail too
-METRICS = (("symbol_ratio", 0.08, False), ("dup_line_ratio", 0.15, False), ("repeat_ratio", 0.10, False), ("word_length", 1.5, True))
+#: One word of the shortest text that the base rules let pass: the least quartile distance, which only breaks ties.
+TIE = 1 / 50
+#: metric, whether low values fail too, whether quartiles are those of the non-zero part: lines and words come twice in good texts as well, so that rare repeats alone say nothing.
+METRICS = (("symbol_ratio", False, False), ("dup_line_ratio", False, True), ("repeat_ratio", False, True), ("word_length", True, False))
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -43,9 +45,11 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row for each row of docs: id, the five statistics, base_failed, the four ratios, n_outside and kept.
 
     The quartiles of each ratio come from quantile sketches (percentile_approx, whose partial sketches Spark merges) of
-    each language and source, of each language and of everything; a group of fewer than least_rows takes the next wider
-    one. A ratio above the upper quartile by more than fences times the quartile distance (at least the spread in
-    METRICS) is outside; for word length below the lower quartile too. kept: base_failed is false and nothing is outside.
+    each language and source, of each language and of everything, over rows that the base rules let pass. Those of
+    dup_line_ratio and repeat_ratio are of the rows where they aren't 0. A group of fewer than least_rows such rows, or of
+    fewer than a quarter of that where the ratio isn't 0, takes the next wider one. A ratio above the upper quartile by
+    more than fences times the quartile distance (at least TIE) is outside; for word length below the lower quartile too.
+    kept: base_failed is false and nothing is outside.
 
     Null and empty texts have no words: base_failed, not kept. Null languages and sources are groups of their own. The
     cutoffs are joined from at most one row for each language and source. No rows: no rows.
@@ -63,21 +67,26 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         ),
         "rules",
     )
-    sketches = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(f"_q_{m}") for m, _, _ in METRICS]
+    ratios = [(m, F.when(~F.col("base_failed") & ((F.col(m) > 0) | F.lit(not part)), F.col(m))) for m, _, part in METRICS]
+    sketches = [c for m, v in ratios for c in (F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(f"_q_{m}"), F.count(v).alias(f"_n_{m}"))]
     # One pass for the three widths: a sketch for each language and source, each language, and all.
-    levels = stored(stats.rollup("_lang", "_source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *sketches), "rules-cutoffs")
-    quartiles = F.struct(*[f"_q_{m}" for m, _, _ in METRICS])
-    own = levels.where("_level = 0").select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.when(F.col("_n") >= least_rows, quartiles).alias("_own"))
-    wide = levels.where("_level = 1").select(F.col("_lang").alias("_wl"), F.when(F.col("_n") >= least_rows, quartiles).alias("_wide"))
-    # The one row of everything: a few numbers.
+    levels = stored(stats.rollup("_lang", "_source").agg(F.grouping_id().alias("_level"), F.count(F.when(~F.col("base_failed"), 1)).alias("_n"), *sketches), "rules-cutoffs")
+
+    def quartiles(name: str) -> Column:
+        enough = [F.when((F.col("_n") >= least_rows) & (F.col(f"_n_{m}") >= (least_rows / 4 if part else least_rows)), F.col(f"_q_{m}")).alias(m) for m, _, part in METRICS]
+        return F.struct(*enough).alias(name)
+
+    own = levels.where("_level = 0").select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), quartiles("_own"))
+    wide = levels.where("_level = 1").select(F.col("_lang").alias("_wl"), quartiles("_wide"))
+    # The one row of everything: a few numbers. Where no row has a value, as good as 0.
     top = levels.where("_level = 3").select(*[f"_q_{m}" for m, _, _ in METRICS]).first()
-    every = [F.struct(*[F.array(*map(F.lit, q)).alias(f"_q_{m}") for (m, _, _), q in zip(METRICS, top, strict=True)])] if top else []
-    cuts = own.join(wide, F.col("_l").eqNullSafe(F.col("_wl")), "left").select("_l", "_s", F.coalesce("_own", "_wide", *every).alias("_cut"))
+    every = {m: F.array(*[F.lit(float(v)) for v in q or (0.0, 0.0)]) for (m, _, _), q in zip(METRICS, top or [None] * len(METRICS), strict=True)}
+    cuts = own.join(wide, F.col("_l").eqNullSafe(F.col("_wl")), "left").select("_l", "_s", F.struct(*[F.coalesce(f"_own.{m}", f"_wide.{m}", every[m]).alias(m) for m, _, _ in METRICS]).alias("_cut"))
     judged = stats.join(cuts, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     outside = F.lit(0)
-    for name, least, low_too in METRICS:
-        q25, q75 = F.col(f"_cut._q_{name}")[0], F.col(f"_cut._q_{name}")[1]
-        reach = fences * F.greatest(q75 - q25, F.lit(least))
+    for name, low_too, _ in METRICS:
+        q25, q75 = F.col(f"_cut.{name}")[0], F.col(f"_cut.{name}")[1]
+        reach = fences * F.greatest(q75 - q25, F.lit(TIE))
         fails = F.col(name) > q75 + reach
         outside = outside + F.when(fails | (F.col(name) < q25 - reach) if low_too else fails, 1).otherwise(0)
     judged = judged.withColumn("n_outside", outside)
