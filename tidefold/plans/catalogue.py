@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.operators import diagnostics, metrics, native, prepare, sigma, simulate, weights
@@ -229,6 +229,80 @@ add("climatology_zero", lambda s, d: prepare.naive_zero(simulate.simulate(s, _PA
 
 # --- sweeps -----------------------------------------------------------------------------------------------------------
 
+# The experiments' parameter values, seeds, steps and particles.
+B_GRID, Q_GRID = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0), (0.01, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
+GRID_SEEDS, GRID_STEPS, GRID_PARTICLES = tuple(range(30)), 1000, 500
+#: A filter of an experiment: its name, the model that it believes in, method and options.
+Entrant = tuple[str, Model, str, dict]
+
+
+def back_action(b: float) -> tuple[Model, list[Entrant]]:
+    """The true model, and filters that know it or leave out what y does to x."""
+    model = models.pairwise_param(b=b)
+    return model, [("epkf", model, "epkf", {}), ("upkf", model, "upkf", {}), ("naive", models.markov_naive(), "epkf", {})]
+
+
+def multiplicative_noise(q_y: float) -> tuple[Model, list[Entrant]]:
+    model, wide = models.multiplicative(q_y), models.create("model_x1_y1_multiplicative_augmented", q_y=q_y)
+    return model, [("epkf", model, "epkf", {}), ("upkf", model, "upkf", {}), ("ukf_aug", wide, "ukf", {})]
+
+
+def sine_pairwise(_: float = 0.0) -> tuple[Model, list[Entrant]]:
+    model = models.create("model_x1_y1_pairwise")
+    return model, [("epkf", model, "epkf", {}), ("upkf", model, "upkf", {}), ("ppf", model, "ppf", {"n_particles": GRID_PARTICLES, "seed": 3})]
+
+
+def runs(spark: SparkSession, make: Callable[[float], tuple[Model, list[Entrant]]], values: tuple[float, ...], seeds: tuple[int, ...] = GRID_SEEDS, steps: int = GRID_STEPS) -> DataFrame:
+    """(value, method, seed, mse, mae, nees, nis, failed): all filters of a value on the same trajectories, one for each seed.
+
+    Scores are those of x; nis is null for particle filters. failed: some step of the run has no result.
+    """
+    out = None
+    keys = spark.createDataFrame([(s, s) for s in seeds], "series bigint, seed bigint")
+    for v in values:
+        model, entrants = make(v)
+        rows = simulate.as_observations(simulate.simulate_for(keys, model, steps))
+        for name, believed, method, options in entrants:
+            steps_of = filter_series(rows, believed, method, output=("innov", "s", "x_upd", "p_upd"), on_error="skip", **options)
+            scores = metrics.with_nis(metrics.with_nees(metrics.state_part(steps_of, model.dim_x), model.dim_x), model.dim_y)
+            e = F.col("x_true")[0] - F.col("x_upd")[0]
+            nis = F.lit(None).cast("double") if method in ("pf", "ppf") else F.avg("nis")
+            one = scores.groupBy(F.col("series").alias("seed")).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg("nees").alias("nees"), nis.alias("nis"), (F.max("status") > 0).alias("failed"))
+            one = one.select(F.lit(float(v)).alias("value"), F.lit(name).alias("method"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def over_runs(df: DataFrame) -> DataFrame:
+    """(value, method, n, mean and standard deviation of mse and nees). A seed at which some filter fails counts for none."""
+    fine = df.withColumn("_out", F.max("failed").over(Window.partitionBy("value", "seed"))).where(~F.col("_out"))
+    counts = fine.groupBy("value", "method").agg(F.count("*").alias("n"))
+    return metrics.over_seeds(fine, ["mse", "nees"], ["value", "method"]).join(counts, ["value", "method"]).select("value", "method", "n", *[r(c).alias(c) for c in ("mse_mean", "mse_std", "nees_mean", "nees_std")])
+
+
+add("sweep_b", lambda s, d: over_runs(runs(s, back_action, B_GRID)))
+add("sweep_qy", lambda s, d: over_runs(runs(s, multiplicative_noise, Q_GRID)))
+
+
+def seed_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """Each filter's errors over seeds, and the gap of its mean to the first one's: as it is, and relative to the first one's spread."""
+    rows = over_runs(runs(spark, sine_pairwise, (0.0,))).drop("value")
+    first = rows.where("method = 'epkf'").select(F.col("mse_mean").alias("_mean"), F.col("mse_std").alias("_std"))
+    difference = F.abs(F.col("mse_mean") - F.col("_mean"))
+    return rows.join(F.broadcast(first), how="cross").select(*rows.columns, r(difference).alias("difference"), r(difference / F.col("_std")).alias("gap"))
+
+
+add("seed_sensitivity", seed_sensitivity)
+
+
+def shared_trajectory(spark: SparkSession, sf: str) -> DataFrame:
+    """Several filters on the same long trajectory, side by side."""
+    return runs(spark, sine_pairwise, (0.0,), seeds=(42,)).select("method", *[r(c).alias(c) for c in ("mse", "mae", "nees", "nis")], "failed")
+
+
+add("shared_trajectory", shared_trajectory)
+
+# Small grids of the same filters, which SQL can follow.
 B_VALUES, Q_VALUES, SEEDS, SWEEP_STEPS = (0.5, 1.5, 3.0), (0.05, 0.10, 0.20), 5, 50
 
 
@@ -265,30 +339,17 @@ def _summary(df: DataFrame) -> DataFrame:
 
 _SUMMARY = f"SELECT value, method, {rs('avg(mse)')} AS mse_mean, {rs('stddev_pop(mse)')} AS mse_std FROM"
 for _short, _make, _values in (("b", models.pairwise_param, B_VALUES), ("qy", models.multiplicative, Q_VALUES)):
-    add(f"sweep_{_short}", lambda s, d, m=_make, v=_values: _summary(sweep(s, m, v, ("epkf", "upkf"))), f"{_SUMMARY} ({_sweep_sql(_make, _values, ('epkf', 'upkf'))}) GROUP BY value, method")
+    add(f"sweep_{_short}_small", lambda s, d, m=_make, v=_values: _summary(sweep(s, m, v, ("epkf", "upkf"))), f"{_SUMMARY} ({_sweep_sql(_make, _values, ('epkf', 'upkf'))}) GROUP BY value, method")
 
 
-def seed_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+def seed_sensitivity_small(spark: SparkSession, sf: str) -> DataFrame:
     """Gap of two filters' mean errors over seeds, relative to the spread of the first."""
     runs = sweep(spark, models.pairwise_param, (3.0,), ("epkf", "upkf")).groupBy("series").pivot("method", ["epkf", "upkf"]).agg(F.first("mse"))
     gap = F.abs(F.avg("epkf") - F.avg("upkf")) / F.stddev_pop("epkf")
     return runs.agg(r(F.avg("epkf")).alias("epkf"), r(F.avg("upkf")).alias("upkf"), r(F.stddev_pop("epkf")).alias("epkf_std"), r(gap).alias("gap"))
 
 
-add("seed_sensitivity", seed_sensitivity, f"WITH w AS ({_sweep_sql(models.pairwise_param, (3.0,), ('epkf', 'upkf'))}), v AS (SELECT series, max(mse) FILTER (method = 'epkf') AS a, max(mse) FILTER (method = 'upkf') AS b FROM w GROUP BY series) SELECT {rs('avg(a)')} AS epkf, {rs('avg(b)')} AS upkf, {rs('stddev_pop(a)')} AS epkf_std, {rs('abs(avg(a) - avg(b)) / stddev_pop(a)')} AS gap FROM v")
-
-
-def shared_trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    """Several filters on the same trajectories, side by side."""
-    rows = simulate.as_observations(simulate.simulate(spark, _PARAM, N_STEPS, N_SERIES))
-    out = None
-    for m, o in (("epkf", {}), ("upkf", {}), ("ppf", {"n_particles": 200, "seed": 3})):
-        e = metrics.errors(filter_series(rows, _PARAM, m, output=("x_upd",), **o)).select(F.lit(m).alias("method"), r("mse").alias("mse"), r("mae").alias("mae"))
-        out = e if out is None else out.unionByName(e)
-    return out
-
-
-add("shared_trajectory", shared_trajectory)
+add("seed_sensitivity_small", seed_sensitivity_small, f"WITH w AS ({_sweep_sql(models.pairwise_param, (3.0,), ('epkf', 'upkf'))}), v AS (SELECT series, max(mse) FILTER (method = 'epkf') AS a, max(mse) FILTER (method = 'upkf') AS b FROM w GROUP BY series) SELECT {rs('avg(a)')} AS epkf, {rs('avg(b)')} AS upkf, {rs('stddev_pop(a)')} AS epkf_std, {rs('abs(avg(a) - avg(b)) / stddev_pop(a)')} AS gap FROM v")
 
 
 def sigma_set_matrix(spark: SparkSession, sf: str) -> DataFrame:
