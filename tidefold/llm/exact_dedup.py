@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import BLANKS, stored
-
-#: Groups of at least 1/HOT of all rows, of which there are at most HOT, are broadcast; so none of the others is large.
-HOT = 10_000
+from tidefold.llm import common
+from tidefold.llm.common import BLANKS, kept_rows, looked_up, stored
 
 
 def normalised(text: Column) -> Column:
@@ -16,43 +14,63 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", " ")
 
 
+def _judged(docs: DataFrame, *, id_col: str, text_col: str, prefix_chars: int, broadcast_keys: int, digest: bool) -> DataFrame:
+    """(_id, _digest, _keep, _size, _kept, _full) for each row of docs; _digest: of the text as it is, _full: sha2 of the normalised one, without digest only where others share length and prefix."""
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).alias("_id"), common.digest(text).alias("_digest"), normalised(text).alias("_norm"))
+    keyed = base.select("_id", "_digest", "_norm", F.length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, prefix_chars)).alias("_prefix"))
+    whole = F.sha2(F.col("_norm"), 256)
+    if digest:
+        # Every text's hash is asked for, so one scan gives the keys of all three steps.
+        rows = stored(keyed.select("_id", "_digest", "_len", "_prefix", whole.alias("_full"), F.monotonically_increasing_id().alias("_row")), "dedup-rows")
+        keys = rows.groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
+    else:
+        keys = keyed.groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
+    keys = stored(keys, "dedup-keys")
+    same_length = keys.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_len")
+    alive = keys.where("_n > 1").join(same_length, "_len", "left_semi").select(F.col("_len").alias("_l"), F.col("_prefix").alias("_p"))
+    survives = F.col("_l").isNotNull()
+    found = (F.col("_len") == F.col("_l")) & (F.col("_prefix") == F.col("_p"))
+    # Within the bound the keys are sent to every task; beyond it rows and keys meet by a shuffle.
+    few = alive.limit(broadcast_keys + 1).count() <= broadcast_keys
+    alive = F.broadcast(alive) if few else alive
+    if digest:
+        rows = rows.join(alive, found, "left").select("_id", "_digest", "_row", "_full", survives.alias("_survives"))
+    elif few:
+        rows = stored(keyed.join(alive, found, "left").select("_id", "_digest", F.when(survives, whole).alias("_full"), survives.alias("_survives"), F.monotonically_increasing_id().alias("_row")), "dedup-rows")
+    else:
+        # Only the keys are shuffled here, and then whole texts of survivors are read and hashed where they lie: a row's place is known by id and digest.
+        slim = stored(keyed.select("_id", "_digest", "_len", "_prefix").join(alive, found, "left").groupBy("_id", "_digest").agg(F.max(survives).alias("_survives")).withColumnsRenamed({"_id": "_sid", "_digest": "_sd"}), "dedup-survivors")
+        again = keyed.join(slim, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_digest") == F.col("_sd")))
+        rows = stored(again.select("_id", "_digest", F.when(F.col("_survives"), whole).alias("_full"), "_survives", F.monotonically_increasing_id().alias("_row")), "dedup-rows")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    groups = stored(rows.where("_survives").groupBy(F.col("_full").alias("_g")).agg(first.alias("_first"), F.count("*").alias("_size")).where("_size > 1"), "dedup-groups")
+    total = keys.agg(F.sum("_n")).first()[0] or 0
+    out = looked_up(rows.withColumn("_g", F.when(F.col("_survives"), F.col("_full"))), groups, "_g", "_size", total)
+    alone = F.col("_first").isNull()
+    return out.select("_id", "_digest", F.when(alone, F.col("_id")).otherwise(F.col("_first.id")).alias("_keep"), F.coalesce("_size", F.lit(1)).cast("long").alias("_size"), (alone | (F.col("_row") == F.col("_first.row"))).alias("_kept"), "_full")
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, broadcast_keys: int = 500_000, digest: bool = False) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, and with digest text_sha256 of every text.
 
     Rows are first grouped by length, groups of two or more by the hash of their first prefix_chars characters, and only
-    what is left in groups of two or more is hashed whole. Only these short keys are shuffled, never texts. The keys of
-    surviving groups are broadcast if there are at most broadcast_keys; beyond that nearly every text survives, and all
-    are hashed in the scan. Rows of large groups find their group by broadcast, rows of small ones by a shuffle.
+    what is left in groups of two or more is compared by the hash of the whole. Only these short keys are shuffled, never
+    texts, but where more than broadcast_keys keys survive: then the rows are joined with them by id and digest. Rows of
+    large groups find their group by broadcast, rows of small ones by a shuffle.
 
-    Null texts equal empty ones; a null id is kept only if no equal text has an id. If an id is repeated with the same
-    text, its rows count one by one in group_size and are all kept when that id stays. Other columns of docs, whatever
-    their names, are not read. No rows: no rows.
+    Null texts equal empty ones. The row with the smallest id stays; null ids come last, and of rows with the same id one
+    stays, so no group keeps two. Other columns of docs, whatever their names, are not read. No rows: no rows.
     """
-    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    keys = stored(base.select(F.length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, prefix_chars)).alias("_prefix")).groupBy("_len", "_prefix").agg(F.count("*").alias("_n")), "dedup-keys")
-    same_length = keys.groupBy("_len").agg(F.sum("_n").alias("_all")).where("_all > 1").select("_len")
-    alive = keys.join(same_length, "_len", "left_semi").where("_n > 1").select(F.col("_len").alias("_l"), F.col("_prefix").alias("_p"))
-    few = alive.limit(broadcast_keys + 1).count() <= broadcast_keys
-    survives = F.lit(True)
-    if few:
-        base = base.join(F.broadcast(alive), (F.length("_norm") == F.col("_l")) & (F.xxhash64(F.substring("_norm", 1, prefix_chars)) == F.col("_p")), "left")
-        survives = F.col("_l").isNotNull()
-    whole = F.sha2(F.col("_norm"), 256)
-    rows = stored(base.select("_id", survives.alias("_survives"), (whole if digest else F.when(survives, whole)).alias("_full")), "dedup-rows")
-
-    shared = rows.where("_survives")
-    groups = stored(shared.groupBy("_full").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "dedup-groups")
-    least = (keys.agg(F.sum("_n")).first()[0] or 0) / HOT
-    hot, cold = F.broadcast(groups.where(F.col("_size") >= least)), groups.where(F.col("_size") < least)
-    none = [F.lit(None).cast(t).alias(c) for c, t in groups.dtypes[1:]]
-    parts = [rows.where("not _survives").select("*", *none), shared.join(hot, "_full"), shared.join(hot, "_full", "left_anti").join(cold, "_full", "left")]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
-    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *([F.col("_full").alias("text_sha256")] if digest else []))
-
-
-def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose text an equal row with a smaller id has; all columns of docs stay."""
-    found = exact_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    found = _judged(docs, id_col=id_col, text_col=text_col, prefix_chars=prefix_chars, broadcast_keys=broadcast_keys, digest=digest)
+    return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), *([F.col("_full").alias("text_sha256")] if digest else []))
+
+
+def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, broadcast_keys: int = 500_000) -> DataFrame:
+    """docs, all columns, one row of each group of equal texts: that with the smallest id.
+
+    Rows go by their own text: null ids come last, of equal ids one row stays, and no unique text is lost to a row of the
+    same id. No rows: no rows.
+    """
+    found = _judged(docs, id_col=id_col, text_col=text_col, prefix_chars=prefix_chars, broadcast_keys=broadcast_keys, digest=False)
+    return kept_rows(docs, found.select("_id", "_digest", "_kept"), id_col=id_col, text_col=text_col)
