@@ -12,12 +12,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import LOWER, NON_BLANK_BYTES, Words, text_runs
+from tidefold.llm.common import LOWER, NON_BLANK_BYTES, Words, released, text_runs
 
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
-#: Tokens of a step group.
+#: Tokens of a step group, and how many groups of a window are balanced against each other.
 STEP_TOKENS = 65_536
+DEALT = 8
+#: Tokens that a task holds back, so that there are pieces of all lengths for the gaps.
+RESERVE = 1 << 18
+#: Bytes of whole texts that are encoded at once.
+RUN_BYTES = 2 << 20
 
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 other, 2 ASCII letter, 3 full stop or comma
 _KIND[~NON_BLANK_BYTES] = 0
@@ -72,7 +77,7 @@ class Tokens:
 
     def of(self, texts: pa.Array):
         """Yields (first row, ids, first id of each row and one more) of runs of texts; each text ends with END_ID."""
-        for a, b, raw, offsets in text_runs(texts, 2 << 20):
+        for a, b, raw, offsets in text_runs(texts, RUN_BYTES):
             data = LOWER[raw]
             w = Words(data, offsets, NON_BLANK_BYTES)
             kind = _KIND[data]
@@ -117,80 +122,150 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def pack(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int, int]]:
-    """(row, start, length, sequence, offset, window) of pieces that cover all rows; every sequence fills its window, a power of two.
+class Packer:
+    """Packs the documents of a task, fed run by run, into sequences that fill their windows, powers of two.
 
-    Whole windows of the largest size are cut from long rows first. The rest of each row goes to the smallest tier that
+    Whole windows of the largest size are cut from long documents first. The rest of each goes to the smallest tier that
     holds it. From the largest tier down, the longest piece opens a window, the gap takes the longest piece of any
-    shorter size that fits, again and again, and what is then left takes the front of the shortest longer piece. When
-    pieces run out, the last window is laid out as sequences of smaller powers of two.
+    shorter size that fits, again and again, and what is then left takes the front of the shortest longer piece. Until
+    the end at least reserve tokens stay in stock; when they run out, the last window is laid out as sequences of smaller
+    powers of two.
     """
-    out: list[tuple[int, int, int, int, int, int]] = []
-    largest, sequence = tiers[0], 0
-    stock: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-
-    def put(n: int, row: int, start: int) -> None:
-        if n not in stock:
-            stock[n] = []
-            insort(sizes, n)
-        stock[n].append((row, start))
-
-    def take(place: int) -> tuple[int, int, int]:
-        n = sizes[place]
-        row, start = stock[n].pop()
-        if not stock[n]:
-            del stock[n], sizes[place]
-        return n, row, start
-
-    for row, n in enumerate(lengths.tolist()):
-        for start in range(0, n - largest + 1, largest):
-            out.append((row, start, largest, sequence, 0, largest))
-            sequence += 1
-        if n % largest:
-            put(n % largest, row, n - n % largest)
-    for k, window in enumerate(tiers):
-        least = tiers[k + 1] if k + 1 < len(tiers) else 0
-        while sizes and sizes[-1] > least:
-            n, row, start = take(len(sizes) - 1)
-            pieces, gap = [(row, start, n)], window - n
-            while gap and sizes:
-                place = bisect_right(sizes, gap) - 1
-                if place >= 0:
-                    n, row, start = take(place)
-                else:
-                    longer, row, start = take(0)
-                    put(longer - gap, row, start + gap)
-                    n = gap
-                pieces.append((row, start, n))
-                gap -= n
-            if not gap:
-                at = 0
-                for row, start, n in pieces:
-                    out.append((row, start, n, sequence, at, window))
-                    at += n
-                sequence += 1
-                continue
-            total = window - gap
-            room = part = 0
-            for row, start, n in pieces:
-                while n:
-                    if not room:
-                        part = room = 1 << (total.bit_length() - 1)
-                        total -= part
-                    cut = min(n, room)
-                    out.append((row, start, cut, sequence, part - room, part))
-                    start, n, room = start + cut, n - cut, room - cut
-                    sequence += not room
+
+    def __init__(self, tiers: tuple[int, ...] = TIERS, reserve: int = RESERVE):
+        self.tiers, self.reserve, self.left = tiers, max(reserve, tiers[0]), 0
+        self.stock: dict[int, list[tuple]] = {}
+        self.sizes: list[int] = []
+
+    def _put(self, n: int, doc, start: int) -> None:
+        if n not in self.stock:
+            self.stock[n] = []
+            insort(self.sizes, n)
+        self.stock[n].append((doc, start))
+        self.left += n
+
+    def _take(self, place: int) -> tuple:
+        n = self.sizes[place]
+        doc, start = self.stock[n].pop()
+        if not self.stock[n]:
+            del self.stock[n], self.sizes[place]
+        self.left -= n
+        return doc, start, n
+
+    def add(self, docs) -> list[tuple[int, list[tuple]]]:
+        """Takes (document, tokens) in; returns sequences: (window, [(document, start, length)])."""
+        largest, out = self.tiers[0], []
+        for doc, n in docs:
+            out += [(largest, [(doc, start, largest)]) for start in range(0, n - largest + 1, largest)]
+            if n % largest:
+                self._put(n % largest, doc, n - n % largest)
+        return out + self._filled(self.reserve)
+
+    def end(self) -> list[tuple[int, list[tuple]]]:
+        """Sequences of all that is in stock."""
+        return self._filled(0)
+
+    def _filled(self, reserve: int) -> list[tuple[int, list[tuple]]]:
+        out = []
+        for k, window in enumerate(self.tiers):
+            least = self.tiers[k + 1] if k + 1 < len(self.tiers) else 0
+            while self.sizes and self.sizes[-1] > least and self.left >= reserve:
+                pieces = [self._take(len(self.sizes) - 1)]
+                gap = window - pieces[0][2]
+                while gap and self.sizes:
+                    place = bisect_right(self.sizes, gap) - 1
+                    if place < 0:
+                        doc, start, n = self._take(0)
+                        self._put(n - gap, doc, start + gap)
+                        pieces.append((doc, start, gap))
+                        gap = 0
+                    else:
+                        pieces.append(self._take(place))
+                        gap -= pieces[-1][2]
+                out += [(window, pieces)] if not gap else _laid_out(pieces, window - gap)
+        return out
+
+    def held(self):
+        """What is in stock, to be changed in place: lists of (document, start) by length."""
+        return self.stock.items()
+
+
+def _laid_out(pieces: list[tuple], total: int) -> list[tuple[int, list[tuple]]]:
+    """Sequences of powers of two that hold the pieces, total tokens, one after the other."""
+    out: list[tuple[int, list[tuple]]] = []
+    room = 0
+    for doc, start, n in pieces:
+        while n:
+            if not room:
+                room = 1 << (total.bit_length() - 1)
+                total -= room
+                out.append((room, []))
+            cut = min(n, room)
+            out[-1][1].append((doc, start, cut))
+            start, n, room = start + cut, n - cut, room - cut
+    return out
+
+
+def pack(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, start, length, sequence, offset, window) of pieces that cover all rows, by one Packer."""
+    packer = Packer(tiers)
+    out = []
+    for number, (window, pieces) in enumerate(packer.add(enumerate(lengths.tolist())) + packer.end()):
+        at = 0
+        for row, start, n in pieces:
+            out.append((row, start, n, number, at, window))
+            at += n
     return out
 
 
+def cost(pieces: list[tuple]) -> int:
+    """Pairs of tokens that attend to each other: what a sequence costs besides its tokens."""
+    return sum(n * n for _, _, n in pieces)
+
+
+class Steps:
+    """Deals sequences of one window into step groups of step_tokens tokens, several groups at a time, so that their costs are alike."""
+
+    def __init__(self, step_tokens: int, first: int):
+        self.step_tokens, self.next = step_tokens, first
+        self.waiting: dict[int, list[list[tuple]]] = {}
+
+    def add(self, sequences) -> list[tuple[int, int, list[tuple]]]:
+        """Takes (window, pieces) in; returns (group, window, pieces) of groups that are full."""
+        out = []
+        for window, pieces in sequences:
+            some = self.waiting.setdefault(window, [])
+            some.append(pieces)
+            if len(some) == DEALT * self._size(window):
+                out += self._dealt(window, DEALT)
+        return out
+
+    def end(self) -> list[tuple[int, int, list[tuple]]]:
+        """What waits, in as few groups of each window as hold it, all within one sequence of each other."""
+        return [x for w in sorted(self.waiting) for x in (self._dealt(w, -(-len(self.waiting[w]) // self._size(w))) if self.waiting[w] else [])]
+
+    def _size(self, window: int) -> int:
+        return max(1, self.step_tokens // window)
+
+    def _dealt(self, window: int, groups: int) -> list[tuple[int, int, list[tuple]]]:
+        # From the costliest on, to and fro.
+        order = sorted(self.waiting[window], key=cost, reverse=True)
+        out = []
+        for i, pieces in enumerate(order):
+            turn, place = divmod(i, groups)
+            out.append((self.next + (place if turn % 2 == 0 else groups - 1 - place), window, pieces))
+        self.next += groups
+        self.waiting[window] = []
+        return out
+
+
 def packed(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_group, with_ids: ids.
 
-    Every batch of rows that Spark reads into a task is packed by itself, so nothing is shuffled and memory is that of a
-    batch; sequences fill their windows (powers of two) exactly, so none needs padding. step_group joins sequences of
-    one window to step_tokens tokens; only what is left at the end of a batch makes smaller groups.
+    The rows that a task reads are packed by one Packer, run by run of about RUN_BYTES of text whatever Arrow's batches
+    are, so nothing is shuffled and memory is that of a run and a reserve; sequences fill their windows (powers of two)
+    exactly, so none needs padding. step_group joins sequences of one window to step_tokens tokens, dealt by their
+    attention cost; only what is left of each window at the end of a task makes smaller groups, of even size.
 
     Null and empty texts are the end id alone. Repeated rows are packed each. A null id stays null. Other columns are not
     read. No rows: no rows. tokenizer: path of the tokenizer's file; by default the public one named word_bpe_49k.json.
@@ -203,33 +278,47 @@ def packed(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"] + ["ids"] * with_ids
 
     def run(batches):
-        encoder = tokens(tokenizer)
-        task, begun, groups = TaskContext.get().partitionId() << 40, 0, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            runs = list(encoder.of(batch.column(1)))
-            edges = np.concatenate([r[2][:-1] + sum(len(x[1]) for x in runs[:i]) for i, r in enumerate(runs)] + [[sum(len(r[1]) for r in runs)]]).astype(np.int64)
-            ids = np.concatenate([r[1] for r in runs])
-            lengths = np.diff(edges)
-            row, start, length, sequence, offset, window = (np.array(x, np.int64) for x in zip(*pack(lengths), strict=True))
-            begin = edges[row] + start
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-            # Step groups: runs of sequences of one window.
-            step = np.empty(len(row), np.int64)
-            count = 0
-            for size in np.unique(window):
-                mine = np.flatnonzero(window == size)
-                _, nth = np.unique(sequence[mine], return_inverse=True)
-                group = nth // max(1, step_tokens // size)
-                step[mine] = group + count
-                count += int(group.max()) + 1
-            columns = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(lengths[row]), pa.array(sequence + task + begun), pa.array(offset), pa.array(window.astype(np.int32)), pa.array(step + task + groups)]
-            if with_ids:
-                columns.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)], pa.list_(pa.int32())))
-            begun += int(sequence.max()) + 1
-            groups += count
-            yield pa.RecordBatch.from_arrays(columns, names)
+        encoder, id_type = tokens(tokenizer), None
+        task = TaskContext.get().partitionId() << 40
+        packer, steps, number = Packer(), Steps(step_tokens, task), task
+
+        def finished(sequences, steps_done):
+            """A batch of rows of the sequences in groups that are full. A document is (id, ids, tokens, place of ids[0])."""
+            nonlocal number
+            dealt = steps.add(sequences) + (steps.end() if steps_done else [])
+            columns: list[list] = [[] for _ in names]
+            for group, window, pieces in dealt:
+                at = 0
+                for (name, ids, total, base), start, n in pieces:
+                    part = ids[start - base : start - base + n]
+                    for c, x in zip(columns, (name, start, n, zlib.crc32(part), total, number, at, window, group, part), strict=False):
+                        c.append(x)
+                    at += n
+                number += 1
+            types = [id_type, *[pa.int64()] * 6, pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+
+        def own(doc, start: int, n: int):
+            """The document with its own copy of the ids of this piece, so that the run's can go."""
+            name, ids, total, base = doc
+            return doc if ids.base is None else (name, ids[start - base : start - base + n].copy(), total, start)
+
+        def own_copies():
+            for n, some in packer.held():
+                some[:] = [(own(doc, start, n), start) for doc, start in some]
+            for some in steps.waiting.values():
+                some[:] = [[(own(doc, start, n), start, n) for doc, start, n in pieces] for pieces in some]
+
+        for batch in released(batches):
+            id_type = batch.column(0).type
+            for a, ids, edges in encoder.of(batch.column(1)):
+                lengths = np.diff(edges).tolist()
+                named = batch.column(0).slice(a, len(lengths)).to_pylist()
+                rows = [((name, ids[e : e + n], n, 0), n) for name, e, n in zip(named, edges.tolist(), lengths, strict=False)]
+                yield from finished(packer.add(rows), False)
+                own_copies()
+        yield from finished(packer.end(), True)
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
