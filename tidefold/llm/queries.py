@@ -64,7 +64,7 @@ p AS (SELECT doc_id, owner, rank, secret[i] AS secret, whole[i] AS w, CAST(list_
   FROM u WHERE length(secret[i]) >= least AND (rank < 3 OR (regexp_matches(secret[i], '[0-9]') AND regexp_matches(secret[i], '[A-Za-z]')))),
 q AS (SELECT doc_id, owner, rank, secret, s, s + length(w) AS e FROM p),
 c AS (SELECT * FROM q WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM q b WHERE b.doc_id = q.doc_id AND b.rank < 3 AND b.s < q.e AND q.s < b.e)),
-f AS (SELECT secret, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, doc_id)) <= 25 AS live FROM c GROUP BY secret),
+f AS (SELECT secret, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, doc_id)) <= greatest(25, 0.01 * (SELECT count(*) FROM documents)) AS live FROM c GROUP BY secret),
 j AS (SELECT doc_id, rank, s, e, live, (['assign', 'access', 'hex', 'owned'])[rank + 1] || ':' || s || ':' || e AS span FROM c JOIN f USING (secret)),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3 OR live) AS spans,
@@ -76,7 +76,7 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 _DEDUP = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
