@@ -41,18 +41,19 @@ def ratio(part: str, whole: str) -> Column:
     return F.coalesce(F.col(part) / F.when(F.col(whole) > 0, F.col(whole)), F.lit(0.0))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fences: float = 3.0, least_rows: int = 200, accuracy: int = 2000) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fences: float = 3.0, least_rows: int = 200, sketch_size: int = 4096, salts: int = 64) -> DataFrame:
     """One row for each row of docs: id, the five statistics, base_failed, the four ratios, n_outside and kept.
 
-    The quartiles of each ratio come from quantile sketches (percentile_approx, whose partial sketches Spark merges) of
-    each language and source, of each language and of everything, over rows that the base rules let pass. Those of
-    dup_line_ratio and repeat_ratio are of the rows where they aren't 0. A group of fewer than least_rows such rows, or of
-    fewer than a quarter of that where the ratio isn't 0, takes the next wider one. A ratio above the upper quartile by
-    more than fences times the quartile distance (at least TIE) is outside; for word length below the lower quartile too.
-    kept: base_failed is false and nothing is outside.
+    The quartiles of each ratio come from mergeable quantile sketches (KLL, of sketch_size; exact up to about as many
+    values) of each language and source, of each language and of everything, over rows that the base rules let pass.
+    Those of dup_line_ratio and repeat_ratio are of the rows where they aren't 0. A group of fewer than least_rows such
+    rows, or of fewer than a quarter of that where the ratio isn't 0, takes the next wider one. A ratio above the upper
+    quartile by more than fences times the quartile distance (at least TIE) is outside; for word length below the lower
+    quartile too. kept: base_failed is false and nothing is outside.
 
-    Null and empty texts have no words: base_failed, not kept. Null languages and sources are groups of their own. The
-    cutoffs are joined from at most one row for each language and source. No rows: no rows.
+    Null and empty texts have no words: base_failed, not kept. Null languages and sources are groups of their own. Each
+    group is sketched in salts parts, so that a hot one isn't one task's; the cutoffs are joined from at most one row for
+    each language and source. Repeated rows and ids are judged each. No rows: no rows.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
     stats = with_statistics(base, "_text").drop("_text")
@@ -68,18 +69,26 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "rules",
     )
     ratios = [(m, F.when(~F.col("base_failed") & ((F.col(m) > 0) | F.lit(not part)), F.col(m))) for m, _, part in METRICS]
-    sketches = [c for m, v in ratios for c in (F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(f"_q_{m}"), F.count(v).alias(f"_n_{m}"))]
-    # One pass for the three widths: a sketch for each language and source, each language, and all.
-    levels = stored(stats.rollup("_lang", "_source").agg(F.grouping_id().alias("_level"), F.count(F.when(~F.col("base_failed"), 1)).alias("_n"), *sketches), "rules-cutoffs")
+    size = F.lit(sketch_size)
+    # A part of a group for every salt; the parts of a group, the groups of a language, the languages.
+    parts = stats.groupBy("_lang", "_source", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")).agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n"), *[F.kll_sketch_agg_double(v, size).alias(f"_s_{m}") for m, v in ratios])
+    merged = [F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(f"_s_{m}", size).alias(f"_s_{m}") for m, _, _ in METRICS]]
+    own = stored(stored(parts, "rules-parts").groupBy("_lang", "_source").agg(*merged), "rules-groups")
+    wide = stored(own.groupBy("_lang").agg(*merged), "rules-languages")
+
+    def with_quartiles(df: DataFrame) -> DataFrame:
+        n = [F.kll_sketch_get_n_double(f"_s_{m}").alias(f"_n_{m}") for m, _, _ in METRICS]
+        q = [F.when(F.col(f"_n_{m}") > 0, F.kll_sketch_get_quantile_double(f"_s_{m}", F.array(F.lit(0.25), F.lit(0.75)))).alias(f"_q_{m}") for m, _, _ in METRICS]
+        return df.select("*", *n).select("*", *q)
 
     def quartiles(name: str) -> Column:
         enough = [F.when((F.col("_n") >= least_rows) & (F.col(f"_n_{m}") >= (least_rows / 4 if part else least_rows)), F.col(f"_q_{m}")).alias(m) for m, _, part in METRICS]
         return F.struct(*enough).alias(name)
 
-    own = levels.where("_level = 0").select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), quartiles("_own"))
-    wide = levels.where("_level = 1").select(F.col("_lang").alias("_wl"), quartiles("_wide"))
     # The one row of everything: a few numbers. Where no row has a value, as good as 0.
-    top = levels.where("_level = 3").select(*[f"_q_{m}" for m, _, _ in METRICS]).first()
+    top = with_quartiles(wide.agg(*merged)).select(*[f"_q_{m}" for m, _, _ in METRICS]).first()
+    own = with_quartiles(own).select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), quartiles("_own"))
+    wide = with_quartiles(wide).select(F.col("_lang").alias("_wl"), quartiles("_wide"))
     every = {m: F.array(*[F.lit(float(v)) for v in q or (0.0, 0.0)]) for (m, _, _), q in zip(METRICS, top or [None] * len(METRICS), strict=True)}
     cuts = own.join(wide, F.col("_l").eqNullSafe(F.col("_wl")), "left").select("_l", "_s", F.struct(*[F.coalesce(f"_own.{m}", f"_wide.{m}", every[m]).alias(m) for m, _, _ in METRICS]).alias("_cut"))
     judged = stats.join(cuts, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
