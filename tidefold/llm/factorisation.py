@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import ALNUM_BYTES, LOWER, NON_BLANK_BYTES, Words, doc_sums, stored, text_runs
+from tidefold.llm.common import ALNUM_BYTES, LOWER, NON_BLANK_BYTES, Words, doc_sums, released, stored, text_runs
 
 #: The first RESERVED bins are for buckets of structure statistics.
 RESERVED = 512
@@ -71,28 +71,37 @@ class Features:
     structure: bool = False
 
     def of(self, data: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, bin) by row; kept: where given, only bins with kept[bin] >= 0, and that number in place of the bin."""
+        """Distinct (row, bin) by row; a term that comes three times or more has a second bin. kept: where given, only bins with kept[bin] >= 0, and that number in place of the bin."""
         row, at = term_bins(data, offsets, self.bits, self.prefixes)
+        both, times = np.unique(row << 32 | at, return_counts=True)
+        often = both[times >= 3]
+        many = ((often & 0xFFFFFFFF) * 0x9E3779B1 + 1) % ((1 << self.bits) - RESERVED) + RESERVED
+        both = np.concatenate((both, often >> 32 << 32 | many))
         if self.structure:
-            r2, a2 = structure_bins(data, offsets)
-            row, at = np.concatenate((row, r2)), np.concatenate((at, a2))
+            row, at = structure_bins(data, offsets)
+            both = np.concatenate((both, row << 32 | at))
         if kept is not None:
-            at = kept[at]
-            row, at = row[at >= 0], at[at >= 0]
-        both = np.unique(row << 32 | at)
+            at = kept[both & 0xFFFFFFFF].astype(np.int64)
+            both = (both >> 32 << 32 | at)[at >= 0]
+        both = np.unique(both)
         return both >> 32, both & 0xFFFFFFFF
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, train, most_rows: int) -> DataFrame:
-    """(label, text) of at most most_rows rows with a label, taken by the hash of the id; train: condition on the labels' column _id. Equal texts come once."""
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).where("_id is not null and _label is not null").where(train).groupBy("_id").agg(F.max("_label").alias("_label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label: list[Column], train, most_rows: int) -> DataFrame:
+    """(label, text) of the texts of at most most_rows labelled ids, taken by the hash of the id; label: numbers from 0 to 1 from columns of labels (several: an array); train: condition on the labels' column _id.
+
+    An id with several labels, or equal texts with several, count once, with their mean.
+    """
+    names = [f"_y{i}" for i in range(len(label))]
+    rows = labels.select(F.col(id_col).alias("_id"), *[c.cast("double").alias(n) for c, n in zip(label, names, strict=True)]).dropna().where(train).groupBy("_id").agg(*[F.avg(n).alias(n) for n in names])
     n = rows.count()
     order = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
     # The hash leaves about 1.2 times the bound before the sort that sets it.
     picked = rows.where(order < int(1_200_000 * min(1.0, most_rows / max(n, 1))) + 1).orderBy(order, "_id").limit(most_rows)
     # At most most_rows ids and labels: the bound of this broadcast.
     texts = docs.select(F.col(id_col).alias("_did"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_did") == F.col("_id"))
-    return texts.groupBy(F.sha2("_text", 256)).agg(F.first("_label").alias("label"), F.first("_text").alias("text")).select("label", "text")
+    means = [F.avg(n) for n in names]
+    return texts.groupBy(F.sha2("_text", 256)).agg((F.array(*means) if len(means) > 1 else means[0]).alias("label"), F.first("_text").alias("text")).select("label", "text")
 
 
 @dataclass(frozen=True)
@@ -109,10 +118,14 @@ class Machine:
         out = np.empty(len(texts))
         for a, b, data, offsets in text_runs(texts):
             row, at = self.features.of(data, offsets, kept)
-            out[a:b] = 1 / (1 + np.exp(-np.clip(logits(self.bias, self.weights, self.factors, row, at, b - a), -30, 30)))
+            out[a:b] = sigmoid(logits(self.bias, self.weights, self.factors, row, at, b - a))
         return out
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def logits(bias: float, weights: np.ndarray, factors: np.ndarray, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """bias + sum of weights + half the (square of the sum less the sum of squares) of each factor."""
     z = bias + doc_sums(weights[at], row, n)
@@ -122,23 +135,26 @@ def logits(bias: float, weights: np.ndarray, factors: np.ndarray, row: np.ndarra
     return z
 
 
-def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, *, rank: int, epochs: int, l2: float, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss by AdaGrad over batches of rows; row ascends."""
+def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, *, rank: int, epochs: int, l2: float, seed: int = 7, updates: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss by AdaGrad over batches of rows, 1/32 of them (16 to 256); row ascends. updates: where given, the rounds end after about so many, at 8 to epochs."""
     rng, n = np.random.default_rng(seed), len(y)
+    batch = min(256, max(16, n // 32))
+    if updates:
+        epochs = min(epochs, max(8, updates * batch // max(n, 1)))
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, rank))
     bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     gw, gv, gb = np.full(size, 1e-2), np.full((size, rank), 1e-2), 1e-2
     first = np.searchsorted(row, np.arange(n + 1))
     for _ in range(epochs):
         order = rng.permutation(n)
-        for k in range(0, n, 256):
-            docs = order[k : k + 256]
+        for k in range(0, n, batch):
+            docs = order[k : k + batch]
             lengths = first[docs + 1] - first[docs]
             own = np.repeat(np.arange(len(docs)), lengths)
             idx = at[np.repeat(first[docs] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())]
             sums = np.stack([doc_sums(v[idx, f], own, len(docs)) for f in range(rank)], 1)
             z = bias + doc_sums(w[idx], own, len(docs)) + 0.5 * (sums**2 - np.stack([doc_sums(v[idx, f] ** 2, own, len(docs)) for f in range(rank)], 1)).sum(1)
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) / len(docs)
+            d = (sigmoid(z) - y[docs]) / len(docs)
             used = np.unique(idx)
             g = np.bincount(idx, d[own], size)[used] + l2 * w[used]
             gw[used] += g * g
@@ -152,41 +168,60 @@ def train(row: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, *, rank: in
     return bias, w, v
 
 
-def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: int = 6, epochs: int = 20, l2: float = 1e-4, least_z: float = 4.0) -> Machine:
-    """A machine fitted on a bounded sample (label 0 or 1, text).
-
-    Bins are screened by how far their labels are from the sample's (a likelihood ratio, as a z value); the most_bins strongest remain. Training is
-    one task over the screened bins of the sample. No rows: a machine that scores 0.5.
-    """
+def featured(sample: DataFrame, features: Features) -> DataFrame:
+    """(label, bins) of a sample (label, text), stored."""
 
-    def featured(batches):
-        for batch in batches:
+    def run(batches):
+        for batch in released(batches):
             for a, b, data, offsets in text_runs(batch.column("text")):
                 row, at = features.of(data, offsets)
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int32()))], ["label", "bins"])
 
-    rows = stored(sample.mapInArrow(featured, "label double, bins array<int>"), "sample")
-    total = rows.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
-    if not total["n"]:
-        return Machine(features, np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, rank)))
-    p, m = float(total["p"]), float(total["n"] - total["p"])
-    counts = rows.select("label", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 4").withColumn("b", F.col("n") - F.col("a"))
-    # The root of the likelihood-ratio statistic, which also holds where a bin comes with one label only.
+    return stored(sample.mapInArrow(run, f"label {sample.schema['label'].dataType.simpleString()}, bins array<int>"), "sample")
+
+
+def _told(rows: DataFrame, label: Column) -> DataFrame:
+    """(bin, n, z): in how many rows each bin is, and how far their labels are from all rows' (the root of the likelihood-ratio statistic, which also holds where a bin comes with one label only)."""
+    total = rows.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
+    p = float(total["p"] or 0.0)
+    m = float(total["n"]) - p
+    counts = rows.select(label.alias("y"), F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("n >= 2").withColumn("b", F.col("n") - F.col("a"))
     n, both = F.col("n"), p + m
     part = lambda x, of: F.when(x > 0, x * F.log(x * both / (n * max(of, 0.5)))).otherwise(0.0)
-    z = F.sqrt(F.greatest(2 * (part(F.col("a"), p) + part(F.col("b"), m)), F.lit(0.0)))
-    top = counts.select("bin", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bin").limit(most_bins)
-    bins = np.array(sorted(r["bin"] for r in top.collect()), np.int64)
+    return counts.select("bin", "n", F.sqrt(F.greatest(2 * (part(F.col("a"), p) + part(F.col("b"), m)), F.lit(0.0))).alias("z"))
+
+
+def screened(rows: DataFrame, label: Column, *, most_bins: int, least_z: float) -> list[int]:
+    """The bins that a machine is trained over, at most 1.5 * most_bins of them, by three tests over all rows (label, bins):
+
+    the most_bins strongest of those whose own labels differ from all (z of least_z or more); up to most_bins / 4 whose
+    labels differ among rows that hold one of the 64 strongest, as a term can be neutral alone and telling beside
+    another; and the most frequent ones whatever their labels, one for 16 rows, up to most_bins / 6.
+    """
+    n = rows.count()
+    told = stored(_told(rows, label), "told")
+    strong = [r["bin"] for r in told.where(F.col("z") >= least_z).orderBy(F.desc("z"), "bin").limit(most_bins).collect()]
+    found = set(strong) | {r["bin"] for r in told.orderBy(F.desc("n"), "bin").limit(min(most_bins // 6, n // 16)).collect()}
+    if strong:
+        beside = rows.where(F.arrays_overlap("bins", F.array(*[F.lit(b) for b in strong[:64]])))
+        found |= {r["bin"] for r in _told(beside, label).where(F.col("z") >= least_z + 1.5).orderBy(F.desc("z"), "bin").limit(most_bins // 4).collect()}
+    return sorted(found)
+
+
+def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: int = 6, epochs: int = 20, l2: float = 1e-4, least_z: float = 2.5, updates: int = 600) -> Machine:
+    """A machine fitted on a bounded sample (label from 0 to 1, text).
+
+    Bins are those of screened. Training is one task over them, as the sample is bounded. No rows: a machine that scores 0.5.
+    """
+    rows = featured(sample, features)
+    if not rows.count():
+        return Machine(features, np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, rank)))
+    bins = np.array(screened(rows, F.col("label"), most_bins=most_bins, least_z=least_z), np.int64)
 
     def trained(batches):
-        table = pa.Table.from_batches(list(batches))
-        lists = table.column("bins").combine_chunks()
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        at = lists.flatten().to_numpy()
-        place = np.minimum(np.searchsorted(bins, at), len(bins) - 1) if len(bins) else np.zeros(len(at), np.int64)
-        hit = bins[place] == at if len(bins) else np.zeros(len(at), bool)
-        bias, w, v = train(row[hit], place[hit], table.column("label").to_numpy(), len(bins), rank=rank, epochs=epochs, l2=l2)
+        table = pa.Table.from_batches(list(released(batches)))
+        bias, w, v = train(*placed(table.column("bins"), bins), table.column("label").to_numpy(), len(bins), rank=rank, epochs=epochs, l2=l2, updates=updates)
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([v.ravel().tolist()], pa.list_(pa.float64()))], ["bias", "w", "v"])
 
     # One task: the sample is bounded by most_rows of labelled_sample. Sorted, so that the result doesn't depend on the order of rows.
@@ -194,13 +229,23 @@ def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: i
     return Machine(features, bins, one["bias"], np.array(one["w"]), np.array(one["v"]).reshape(len(bins), rank))
 
 
+def placed(lists, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in bins) of what a column of lists of bins holds of bins."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at = lists.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(bins, at), max(len(bins) - 1, 0))
+    hit = bins[place] == at if len(bins) else np.zeros(len(at), bool)
+    return row[hit], place[hit]
+
+
 def scored(docs: DataFrame, machine: Machine, *, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of every row; null texts count as empty."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(machine)
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(batch.column(1)))], ["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -213,7 +258,7 @@ def below(docs: DataFrame, machine: Machine, threshold: float, *, text_col: str)
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             yield batch.filter(pa.array(model.value.scores(batch.column(place)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

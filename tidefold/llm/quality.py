@@ -13,7 +13,7 @@ FEATURES = fm.Features(bits=20, prefixes=(), structure=True)
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 16_000) -> fm.Machine:
     """Fitted on at most most_rows labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2)."""
-    sample = fm.labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, train=fold(F.col("_id"), 4) != 2, most_rows=most_rows)
+    sample = fm.labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label=[F.col(label_col)], train=fold(F.col("_id"), 4) != 2, most_rows=most_rows)
     return fm.fit(sample, FEATURES)
 
 

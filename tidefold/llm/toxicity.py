@@ -13,7 +13,7 @@ FEATURES = fm.Features(bits=20, prefixes=(4, 5))
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 16_000) -> fm.Machine:
     """Fitted on at most most_rows labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2)."""
-    sample = fm.labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, train=fold(F.col("_id"), 4) != 2, most_rows=most_rows)
+    sample = fm.labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label=[F.col(label_col)], train=fold(F.col("_id"), 4) != 2, most_rows=most_rows)
     return fm.fit(sample, FEATURES)
 
 
@@ -30,5 +30,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_c
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, without what scores threshold or more. Nothing is shuffled but the labelled sample."""
+    """docs, all columns, without what scores threshold or more. Nothing is shuffled but the labelled sample.
+
+    Each row is judged by its own text, so null and repeated ids and equal rows don't matter. Null and empty texts score
+    by the bias alone, below any useful threshold. Without labels all score 0.5. No rows: no rows.
+    """
     return fm.below(docs, fit_toxicity(docs, labels, text_col=text_col, **options), threshold, text_col=text_col)
