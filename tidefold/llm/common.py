@@ -86,20 +86,25 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, rows: int)
 
 
 def digest(text: Column) -> Column:
-    """md5 of a text as it is; null as the empty text. With the id it names a row of documents, but for rows equal in both."""
-    return F.md5(F.coalesce(text, F.lit("")))
+    """96 bits of hash of a text as it is; null as the empty text. With the id it names a row of documents, but for rows equal in both."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("a"), F.hash(whole).alias("b"))
+
+
+#: Up to so many dropped rows (36 bytes each) are broadcast; beyond it the rows that stay are shuffled once.
+MOST_SENT = 2_000_000
 
 
 def kept_rows(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """docs, all columns, without the rows that found drops. found has one row for each row of docs: _id, _digest, _kept.
 
     Rows are told by id and text, so a null or repeated id costs no other text its row. Of rows equal in both as many as
-    found keeps stay: none, all, or, where found keeps some, one.
+    found keeps stay: none, all, or, where found keeps some, one. Texts aren't shuffled while at most MOST_SENT rows go.
     """
     counts = found.groupBy("_id", "_digest").agg(F.sum(F.col("_kept").cast("int")).alias("_k"), F.count("*").alias("_n")).where("_k < _n")
     counts = stored(counts.select(F.col("_id").alias("_drop_id"), F.col("_digest").alias("_drop_digest"), (F.col("_k") > 0).alias("_drop_one")), "dropped")
     same = docs[id_col].eqNullSafe(F.col("_drop_id")) & (digest(docs[text_col]) == F.col("_drop_digest"))
-    left = docs.join(counts, same, "left_anti")
+    left = docs.join(F.broadcast(counts) if counts.count() <= MOST_SENT else counts, same, "left_anti")
     twins = counts.where("_drop_one")
     if twins.isEmpty():
         return left

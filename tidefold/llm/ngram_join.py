@@ -173,7 +173,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(_id, _digest, _kept, class_id, n_links) for each row of docs; see near_duplicates and keep_one_of_each."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), digest(F.col(text_col)).alias("_digest"))
-    split = f"_id {kind}, _digest string"
+    split = f"_id {kind}, _digest struct<a:bigint,b:int>"
 
     def signed(batches):
         row = TaskContext.get().partitionId() << 33
