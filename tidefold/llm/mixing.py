@@ -83,7 +83,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.astype(np.int64)), lists], ["_id", "_digest", "n_tokens", "p"])
 
-    return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _digest string, n_tokens bigint, p array<double>")
+    return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _digest struct<a:bigint,b:int>, n_tokens bigint, p array<double>")
+
+
+def _dot(values: Column, numbers: list[float]) -> Column:
+    """The sum of products. The numbers are one constant array, so Spark compiles a round's expressions once and not anew for every round's numbers."""
+    return F.aggregate(F.zip_with(values, F.array(*[F.lit(float(x)) for x in numbers]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def fit_rates(table: DataFrame, targets: list[float], *, most_rate: float | None = None, pull: float = 1e-3, rounds: int = 120, settled: float = 1e-4) -> DataFrame:
@@ -106,17 +111,16 @@ def fit_rates(table: DataFrame, targets: list[float], *, most_rate: float | None
     scale = [max(f, 1e-6 * total) for f in full]
     # A bound of the curvature: the rows of the matrix of shares over scales sum to 1 at most in each domain.
     step, momentum = 1 / (1 + pull), 1.0
-    floor = lambda c: F.greatest(F.lit(0.0), c if most_rate is None else F.least(F.lit(float(most_rate)), c))
+    bounded = lambda c: F.greatest(F.lit(0.0), c if most_rate is None else F.least(F.lit(float(most_rate)), c))
     for n in range(rounds):
         # _y: where the gradient is taken; _x: the rates. The sums at _y and how far the last step went.
         now = groups.agg(*[F.sum(F.col("_n") * s * F.col("_y")) for s in share]).first()
         gap = [(float(x or 0.0) - t) / f for x, t, f in zip(now, targets, scale, strict=True)]
-        pushed = F.col("_y") * (1 - step * pull) + step * pull
-        for s, g in zip(share, gap, strict=True):
-            pushed = pushed - s * (step * g)
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        groups = groups.withColumn("_new", floor(pushed))
-        groups = groups.select("p", "_n", "_rows", F.col("_new").alias("_x"), (F.col("_new") + (momentum - 1) / after * (F.col("_new") - F.col("_x"))).alias("_y"), F.abs(F.col("_new") - F.col("_y")).alias("_moved"))
+        ahead = (momentum - 1) / after
+        pushed = F.col("_y") * (1 - step * pull) + step * pull - _dot(F.col("p"), [step * g for g in gap])
+        groups = groups.withColumn("_new", bounded(pushed))
+        groups = groups.select("p", "_n", "_rows", F.col("_new").alias("_x"), _dot(F.array("_new", "_x"), [1 + ahead, -ahead]).alias("_y"), F.abs(F.col("_new") - F.col("_y")).alias("_moved"))
         momentum = after
         if n % 8 == 7:
             groups = stored(groups, "rate-groups")
