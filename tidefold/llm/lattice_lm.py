@@ -254,6 +254,9 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
 
 
 def lattice_query(docs: DataFrame) -> DataFrame:
-    """lattice_lm of all rows, learned outside the fold (crc32 of the id modulo 5 is 1), with held_out."""
+    """lattice_lm of all rows, learned outside the fold (crc32 of the id modulo 5 is 1), with held_out.
+
+    A null id is in the fold of the empty text; all else as in lattice_lm.
+    """
     found = lattice_lm(docs, train=fold(F.col("_id"), 5) != 1)
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
