@@ -67,6 +67,18 @@ def _at_exit(spark: SparkSession) -> None:
         pass
 
 
+#: Bytes of a batch that goes to a Python worker, where the session still has Spark's own bound of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES: what JVM and workers hold is then small whatever the texts. The bound is set in the session, which reads it when a plan runs."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key) in ("67108864b", "64MB", "64m"):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 # --- rows of documents ------------------------------------------------------------------------------------------------
 
 #: Keys with at least 1/HOT of all rows, of which there are at most HOT, are broadcast; so none of the others is large.

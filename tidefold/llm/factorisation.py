@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import ALNUM_BYTES, LOWER, NON_BLANK_BYTES, Words, doc_sums, released, stored, text_runs
+from tidefold.llm.common import ALNUM_BYTES, LOWER, NON_BLANK_BYTES, Words, doc_sums, in_arrow, released, stored, text_runs
 
 #: The first RESERVED bins are for buckets of structure statistics.
 RESERVED = 512
@@ -178,7 +178,7 @@ def featured(sample: DataFrame, features: Features) -> DataFrame:
                 first = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int32()))], ["label", "bins"])
 
-    return stored(sample.mapInArrow(run, f"label {sample.schema['label'].dataType.simpleString()}, bins array<int>"), "sample")
+    return stored(sample.transform(in_arrow, run, f"label {sample.schema['label'].dataType.simpleString()}, bins array<int>"), "sample")
 
 
 def _told(rows: DataFrame, label: Column) -> DataFrame:
@@ -225,7 +225,7 @@ def fit(sample: DataFrame, features: Features, *, most_bins: int = 6000, rank: i
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([v.ravel().tolist()], pa.list_(pa.float64()))], ["bias", "w", "v"])
 
     # One task: the sample is bounded by most_rows of labelled_sample. Sorted, so that the result doesn't depend on the order of rows.
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("bins"), "label").mapInArrow(trained, "bias double, w array<double>, v array<double>").first()
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("bins"), "label").transform(in_arrow, trained, "bias double, w array<double>, v array<double>").first()
     return Machine(features, bins, one["bias"], np.array(one["w"]), np.array(one["v"]).reshape(len(bins), rank))
 
 
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, machine: Machine, *, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(batch.column(1)))], ["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).transform(in_arrow, run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def below(docs: DataFrame, machine: Machine, threshold: float, *, text_col: str) -> DataFrame:
@@ -261,4 +261,4 @@ def below(docs: DataFrame, machine: Machine, threshold: float, *, text_col: str)
         for batch in released(batches):
             yield batch.filter(pa.array(model.value.scores(batch.column(place)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import ALNUM_BYTES, LOWER, Words, fold, released, stored, text_runs
+from tidefold.llm.common import ALNUM_BYTES, LOWER, Words, fold, in_arrow, released, stored, text_runs
 
 BITS = 16
 #: First code points of scripts: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian to Hebrew, 5 Arabic, 6 Indic, 7 Southeast Asian, 8 kana, 9 Han, 10 Hangul, 11 other. Which code points are letters Unicode's categories say.
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, train: Column, *, id_col: str, text_col: str, lang_col:
                 both, n = np.unique(both, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(both >> 32)), pa.array((both & 0xFFFFFFFF) - N_SCRIPTS), pa.array(n)], ["lang", "bin", "n"])
 
-    counts = stored(sample.mapInArrow(counted, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "grams")
+    counts = stored(sample.transform(in_arrow, counted, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "grams")
     learned = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     languages = sorted(r["lang"] for r in learned.collect())
     # At most 2**16 bins and the scripts for each of most_languages.
@@ -222,7 +222,7 @@ def language_spans(docs: DataFrame, *, train: Column | None = None, id_col: str
                     flat, edges = flat.filter(pa.array(some)), np.concatenate(([0], np.cumsum(np.where(total > 0, np.diff(edges), 0))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), pa.array(names), pa.array(np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat)], ["_id", "lang_pred", "score", "spans"])
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).transform(in_arrow, run, f"_id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import fold, stored
+from tidefold.llm.common import fold, in_arrow, stored
 
 SPACE = "▁"
 #: Words of at least 1/HEAD of all tokens, of which there are at most HEAD, are sent to all tasks.
@@ -170,7 +170,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
             own = np.bincount(codes, learned[row], n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(own), pa.array(np.bincount(codes, minlength=n).astype(np.int64))], ["word", "c", "n"])
 
-    table = stored(base.mapInArrow(counted, "word string, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
+    table = stored(base.transform(in_arrow, counted, "word string, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
     ends = base.where("_train").count()
     total = table.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     tokens, distinct = (total["c"] or 0) + ends, (total["v"] or 0) + (ends > 0)
@@ -188,7 +188,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["piece", "n"])
 
     # At most one row for each piece of the vocabulary.
-    got = table.where("c > 0").select("word", "c").mapInArrow(pieces, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    got = table.where("c > 0").select("word", "c").transform(in_arrow, pieces, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     _, known, prior = vocabulary(model_path)
     count = np.zeros(len(known))
     for r in got:
@@ -207,7 +207,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
                 words = part.column(0).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lattice_scores(words, logp, model_path) / np.log(10))], ["word", "c", "n", "logp"])
 
-    scored = stored(table.repartition("word").mapInArrow(marginal, "word string, c bigint, n bigint, logp double"), "scored-words") if total["n"] else table.withColumn("logp", F.lit(0.0))
+    scored = stored(table.repartition("word").transform(in_arrow, marginal, "word string, c bigint, n bigint, logp double"), "scored-words") if total["n"] else table.withColumn("logp", F.lit(0.0))
     unit = tokens + 0.5 * (distinct + 1)
     head = scored.where(F.col("n") * HEAD >= (total["n"] or 0)).select("word", "c", "logp").toArrow()
     frequent = spark.sparkContext.broadcast((head.column("word").to_pylist(), head.column("c").to_numpy(), head.column("logp").to_numpy()))
@@ -235,7 +235,7 @@ def lattice_lm(docs: DataFrame, *, train: Column | None = None, model_path: str
             row_id += m
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "known", "base", "logp", "words", "often"])
 
-    rows = stored(base.select("_id", "_text").mapInArrow(split, f"row bigint, id {kind}, n bigint, known bigint, base double, logp double, words array<string>, often array<int>"), "rows")
+    rows = stored(base.select("_id", "_text").transform(in_arrow, split, f"row bigint, id {kind}, n bigint, known bigint, base double, logp double, words array<string>, often array<int>"), "rows")
     rare = rows.select("row", F.explode(F.arrays_zip("words", "often")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.often").alias("often"))
     # A frequent word is in no row's rest, so it needn't be joined.
     rest = scored.where(F.col("n") * HEAD < (total["n"] or 0)).select(F.col("word").alias("_w"), "c", F.col("logp").alias("_p"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import factorisation as fm
-from tidefold.llm.common import NON_BLANK_BYTES, Words, digest, kept_rows, looked_up, released, stored, text_runs
+from tidefold.llm.common import NON_BLANK_BYTES, Words, digest, in_arrow, kept_rows, looked_up, released, stored, text_runs
 
 FEATURES = fm.Features(bits=20, prefixes=(4, 5), structure=True)
 LABELS = ("quality", "toxic")
@@ -83,7 +83,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words.astype(np.int64)), lists], ["_id", "_digest", "n_tokens", "p"])
 
-    return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _digest struct<a:bigint,b:int>, n_tokens bigint, p array<double>")
+    return docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest"), F.col(text_col).alias("_text")).transform(in_arrow, run, f"_id {kind}, _digest struct<a:bigint,b:int>, n_tokens bigint, p array<double>")
 
 
 def _dot(values: Column, numbers: list[float]) -> Column:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import NON_BLANK_BYTES, Words, digest, kept_rows, looked_up, mixed, released, stored, text_runs
+from tidefold.llm.common import NON_BLANK_BYTES, Words, digest, in_arrow, kept_rows, looked_up, mixed, released, stored, text_runs
 
 BANDS, ROWS = 28, 5
 _HASHES = BANDS * ROWS
@@ -187,7 +187,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(row + np.arange(a, b)), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int32()), *lists], ["_id", "_digest", "row", "key", "n", "sig", "buckets"])
             row += len(batch)
 
-    every = stored(base.mapInArrow(signed, f"{split}, row bigint, key binary, n int, sig array<int>, buckets array<bigint>"), "signatures")
+    every = stored(base.transform(in_arrow, signed, f"{split}, row bigint, key binary, n int, sig array<int>, buckets array<bigint>"), "signatures")
     # Equal word sequences become one text, named by the row with the smallest id (null last), then the smallest row number.
     first_of = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("row").alias("row")))
     texts = stored(every.where("n > 0").groupBy("key").agg(first_of.alias("first"), F.count("*").alias("copies")).withColumn("rep", F.col("first.row")), "texts")
@@ -208,7 +208,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 stay = pa.array(pruned(_matrix(part.column(2), _HASHES), _matrix(part.column(3), _HASHES), threshold, tolerance))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(stay), part.column(1).take(stay)], ["a", "b"])
 
-    small = with_sigs.mapInArrow(possible, "a bigint, b bigint")
+    small = with_sigs.transform(in_arrow, possible, "a bigint, b bigint")
     large = hits.where(F.col("members") > small_bucket).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     candidates = components(small.union(large), "candidates")
 
@@ -245,7 +245,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))], ["_rep", "hashes"])
 
     # Rows equal in id and text come several times, with the same set.
-    exact = wanted.mapInArrow(sets, "_rep bigint, hashes array<bigint>")
+    exact = wanted.transform(in_arrow, sets, "_rep bigint, hashes array<bigint>")
     repeated = bool(every.groupBy("_id", "_digest").count().where("count > 1").limit(1).count())
     exact = stored(exact.groupBy("_rep").agg(F.first("hashes").alias("hashes")) if repeated else exact, "sets")
     work = placed.join(exact, F.col("rep") == F.col("_rep")).select("root", "rep", "copies", "sig", "hashes", F.explode(tasks).alias("t"))
@@ -285,7 +285,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             rep = t.column("rep").combine_chunks()
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(hit)), rep.take(pa.array(root[hit])), pa.array(links[hit].astype(np.int64))], ["a", "b", "links"])
 
-    found = stored(work.repartition("root", "task").sortWithinPartitions("root", "task").mapInArrow(blocks, "a bigint, b bigint, links bigint"), "links")
+    found = stored(work.repartition("root", "task").sortWithinPartitions("root", "task").transform(in_arrow, blocks, "a bigint, b bigint, links bigint"), "links")
     classes = components(found, "classes")
     links = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("_links"))
     named = texts.join(links, texts["rep"] == links["_a"], "left").join(classes, texts["rep"] == classes["v"], "left")

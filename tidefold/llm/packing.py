@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import LOWER, NON_BLANK_BYTES, Words, released, text_runs
+from tidefold.llm.common import LOWER, NON_BLANK_BYTES, Words, in_arrow, released, text_runs
 
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
@@ -321,4 +321,4 @@ def packed(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
         yield from finished(packer.end(), True)
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)
