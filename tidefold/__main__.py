@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--data", help="file of X and Y columns")
             c.add_argument("--sigma-set", choices=sigma.names(), default="wan2000")
             c.add_argument("--particles", type=int, default=300)
-            c.add_argument("--resampling", choices=RESAMPLERS, default="systematic")
+            c.add_argument("--resampling", choices=RESAMPLERS, default="stratified")
         else:
             c.add_argument("--without-x", action="store_true")
     return p
@@ -76,8 +76,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = parser()
     argv = list(sys.argv[1:] if argv is None else argv)
     if "--config" in argv:
-        file = Path(argv[argv.index("--config") + 1])
-        values = tomllib.loads(file.read_text())
+        try:
+            values = tomllib.loads(Path(argv[argv.index("--config") + 1]).read_text())
+        except (IndexError, OSError, ValueError) as e:
+            print(f"--config: {e}", file=sys.stderr)
+            return 2
         command = next((a for a in argv if a in ("filter", "simulate", "models")), None)
         if command:
             for k, v in values.items():

@@ -244,7 +244,7 @@ class Particles(Gaussian):
 
     weighs_next = True
 
-    def __init__(self, model: Model, n_particles: int = 300, resampling: str = "systematic", threshold: float = 0.5, clip: float = 1e6, seed: int = 0):
+    def __init__(self, model: Model, n_particles: int = 300, resampling: str = "stratified", threshold: float = 0.5, clip: float = 1e6, seed: int = 0):
         super().__init__(model)
         if resampling not in RESAMPLERS:
             raise ParamError(f"there is no resampling method {resampling!r}")

@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tidefold.errors import ParamError
+from pyspark.sql.types import DoubleType
 
 
 def quadratic_form(e: Column, p: Column, dim: int) -> Column:
-    """e' P^-1 e in closed form for up to three components; null where P is singular or not finite."""
+    """e' P^-1 e, with the pseudo-inverse where P is singular; null where it isn't finite. Closed forms for one and two components, NumPy on Arrow batches beyond."""
     g = lambda i, j: p[i][j]
     if dim == 1:
-        det, value = g(0, 0), e[0] * e[0]
+        out = F.when(g(0, 0) == 0, 0.0).otherwise(e[0] * e[0] / g(0, 0))
     elif dim == 2:
-        det = g(0, 0) * g(1, 1) - g(0, 1) * g(1, 0)
+        det, trace = g(0, 0) * g(1, 1) - g(0, 1) * g(1, 0), g(0, 0) + g(1, 1)
         value = e[0] * e[0] * g(1, 1) - e[0] * e[1] * (g(0, 1) + g(1, 0)) + e[1] * e[1] * g(0, 0)
-    elif dim == 3:
-        minor = lambda i, j: _minor(g, i, j)
-        det = g(0, 0) * minor(0, 0) - g(0, 1) * minor(0, 1) + g(0, 2) * minor(0, 2)
-        value = sum((e[i] * e[j] * minor(j, i) * (-1.0) ** (i + j) for i in range(3) for j in range(3)), F.lit(0.0))
+        # A symmetric matrix of rank one is its pseudo-inverse times the square of its trace.
+        flat = e[0] * e[0] * g(0, 0) + e[0] * e[1] * (g(0, 1) + g(1, 0)) + e[1] * e[1] * g(1, 1)
+        out = F.when(det != 0, value / det).when(trace != 0, flat / (trace * trace)).when(trace == 0, 0.0)
     else:
-        raise ParamError("closed forms are for up to three components")
-    out = value / F.when(F.abs(det) > 0, det)
+        out = _quadratic_forms(e, p)
     return F.when(~F.isnan(out) & (F.abs(out) < float("inf")), out)
 
 
-def _minor(g, i: int, j: int) -> Column:
-    r, c = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
-    return g(r[0], c[0]) * g(r[1], c[1]) - g(r[0], c[1]) * g(r[1], c[0])
+@F.pandas_udf(DoubleType())
+def _quadratic_forms(e: pd.Series, p: pd.Series) -> pd.Series:
+    out = np.full(len(e), np.nan)
+    some = np.flatnonzero(e.notna().to_numpy() & p.notna().to_numpy())
+    if len(some):
+        errors, matrices = np.stack(e.to_numpy()[some]).astype(float), np.stack([np.stack(m) for m in p.to_numpy()[some]]).astype(float)
+        fine = np.isfinite(errors).all(1) & np.isfinite(matrices).all((1, 2))
+        some, errors, matrices = some[fine], errors[fine], matrices[fine]
+        singular = np.linalg.det(matrices) == 0
+        inverse = np.empty_like(matrices)
+        inverse[~singular], inverse[singular] = np.linalg.inv(matrices[~singular]), np.linalg.pinv(matrices[singular])
+        out[some] = np.einsum("ni,nij,nj->n", errors, inverse, errors)
+    return pd.Series(out)
 
 
 def with_nees(steps: DataFrame, dim: int, estimate: str = "x_upd", covariance: str = "p_upd") -> DataFrame:

@@ -16,9 +16,17 @@ TEXT_SUFFIXES = (".csv", ".txt", ".dat", ".tsv", "")
 DELIMITERS = ",;\t| "
 
 
-def sniff(spark: SparkSession, path: str, lines: int = 10) -> tuple[str, bool]:
+def _head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, or of the first of a folder's files."""
+    return bytes(spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, size).alias("head")).first()["head"])
+
+
+def sniff(spark: SparkSession, path: str, lines: int = 10, encoding: str = "utf-8") -> tuple[str, bool]:
     """(delimiter, whether the first line is a header) of a text file, from its first lines; comma and header if unclear."""
-    sample = "\n".join(r["value"] for r in spark.read.text(path).limit(lines).collect())
+    if encoding == "utf-8":
+        sample = "\n".join(r["value"] for r in spark.read.text(path).limit(lines).collect())
+    else:
+        sample = "\n".join(_head(spark, path, 50_000).decode(encoding, "ignore").splitlines()[:lines])
     try:
         sniffer = csv.Sniffer()
         return sniffer.sniff(sample, DELIMITERS).delimiter, sniffer.has_header(sample)
@@ -28,7 +36,7 @@ def sniff(spark: SparkSession, path: str, lines: int = 10) -> tuple[str, bool]:
 
 def encoding_of(spark: SparkSession, path: str, size: int = 50_000) -> str:
     """utf-8, utf-16 or latin-1, by the mark at the beginning of a file or by trial on its first bytes."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("head")).first()["head"])
+    head = _head(spark, path, size)
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16"
     for cut in range(4 if len(head) == size else 1):  # a character may be cut at the end
@@ -41,7 +49,7 @@ def encoding_of(spark: SparkSession, path: str, size: int = 50_000) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A table from Parquet, JSON, ORC or delimited text, by suffix. Text columns are inferred unless a schema is given."""
+    """A table from Parquet, JSON, ORC or delimited text, by suffix. Text columns are inferred unless a schema is given, and so is the encoding of a single text file."""
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix == ".parquet":
         return spark.read.parquet(path)
@@ -52,8 +60,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, encodi
         return (reader.schema(schema) if schema else reader).json(path)
     if suffix not in TEXT_SUFFIXES:
         raise ParamError(f"files with suffix {suffix!r} can't be read")
-    delimiter, header = sniff(spark, path)
-    reader = spark.read.option("sep", delimiter).option("header", header).option("encoding", encoding or "utf-8")
+    encoding = encoding or encoding_of(spark, path)
+    delimiter, header = sniff(spark, path, encoding=encoding)
+    reader = spark.read.option("sep", delimiter).option("header", header).option("encoding", {"latin-1": "ISO-8859-1"}.get(encoding, encoding)).option("multiLine", encoding == "utf-16")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
