@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from tidefold.operators import kernels
-from tidefold.operators.filters import Fold
-from tidefold.operators.simulate import simulate_for
+from tidefold.errors import ParamError
+from tidefold.operators import kernels, metrics, sigma
+from tidefold.operators.filters import Fold, filter_series
+from tidefold.operators.simulate import as_observations, simulate_each, simulate_for
 from tidefold.plans import catalogue, models
 
 
@@ -73,3 +74,46 @@ def test_queries_hold_the_whole_grid(spark, tables):
     one = catalogue.QUERIES["shared_trajectory"](spark, tables).toPandas()
     assert sorted(one.method) == ["epkf", "ppf", "upkf"] and one.nees.notna().all() and one.set_index("method").nis.notna().to_dict() == {"epkf": True, "upkf": True, "ppf": False}
     assert (len(catalogue.B_GRID), len(catalogue.Q_GRID), len(catalogue.GRID_SEEDS), catalogue.GRID_STEPS, catalogue.GRID_PARTICLES) == (10, 8, 30, 1000, 500)
+
+
+def test_all_values_in_one_plan_equal_each_alone(spark):
+    """Particle filters too: their draws depend on the series, not on what else is in the plan."""
+    steps, seeds = 30, (1, 4)
+    make = catalogue.three_filters
+    got = {(r["value"], r["method"], r["seed"]): r["mse"] for r in catalogue.runs(spark, make, (0.0, 1.0), seeds, steps).collect()}
+    for value in (0.0, 1.0):
+        model, entrants = make(value)
+        rows = as_observations(simulate_for(spark.createDataFrame([(s, s) for s in seeds], "series bigint, seed bigint"), model, steps))
+        for name, believed, method, options in entrants:
+            alone = metrics.errors(filter_series(rows, believed, method, on_error="skip", **options), ["series"]).collect()
+            assert len(alone) == 2
+            for r in alone:
+                assert np.isclose(r["mse"], got[value, name, r["series"]]), (value, name)
+
+
+def test_linear_filters_agree(spark, tables):
+    rows = catalogue.QUERIES["linear_three_ways"](spark, tables).toPandas()
+    assert sorted(rows.method) == ["epkf", "pkf", "upkf"] and np.allclose(rows.mse, rows.mse.iloc[0], rtol=1e-4) and not rows.failed.any()
+
+
+def test_more_particles_are_no_worse(spark, tables):
+    rows = catalogue.QUERIES["particle_sweep"](spark, tables).toPandas().set_index("method")
+    assert len(rows) == 19 and rows.mse.notna().all() and rows.nis.isna().all()
+    assert rows.mse["pf_1000"] < 1.1 * rows.mse["pf_50"] and rows.mse["ppf_1000"] < 1.1 * rows.mse["ppf_50"]
+
+
+def test_tables_of_models_are_checked(spark):
+    keys = spark.createDataFrame([(0.0, 1, 1)], "value double, series bigint, seed bigint")
+    one, two = models.create("model_x1_y1_pairwise"), models.create("model_x2_y1_pairwise")
+    for chosen, steps in (({0.0: one, 1.0: two}, 5), ({0.0: models.create("model_x1_y1_augmented")}, 5), ({0.0: one}, 0)):
+        with pytest.raises(ParamError):
+            simulate_each(keys, chosen, steps)
+    with pytest.raises(Exception, match="no model for 0.0"):
+        simulate_each(keys, {1.0: one}, 5).collect()
+
+
+def test_unscented_parameters_are_options():
+    model = models.create("model_x1_y1_pairwise")
+    usual, wide = kernels.build("upkf", model), kernels.build("upkf", model, alpha=1.0, kappa=1.0)
+    assert np.abs(wide.unit).max() > np.abs(usual.unit).max()
+    assert np.allclose(kernels.build("upkf", model, alpha=sigma.ALPHA, beta=sigma.BETA, kappa=sigma.KAPPA).unit, usual.unit)

@@ -96,6 +96,59 @@ def nested(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return flat
 
 
+def keys_of(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def partitions_of(df: DataFrame) -> int:
+    """As many tasks as the session's shuffles have: a fold's rows are few and dear, so they aren't joined into larger partitions by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs_of(batch: pa.RecordBatch, column: int):
+    """(value, rows) for each run of one value of a column in a batch that comes sorted by it."""
+    values = keys_of(batch.column(column))
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), len(values)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi > lo:
+            yield values[lo], batch.slice(lo, hi - lo)
+
+
+def filter_each(df: DataFrame, entrants: dict[float, list[tuple[str, Model, str, dict]]], *, output: tuple[str, ...] = ALL) -> DataFrame:
+    """Filters several models' series in one plan: (value, method, series, k, x_true, y, status, output) from (value, ord_0, series, x_true, y).
+
+    entrants[value] are the filters of a value's series: name (the column method), model, method and options as of
+    filter_series. Rows are shuffled once and each is read by all its value's filters. A step that fails gives NaN and a
+    status, as on_error="skip" does. A null observation or a value without entrants is an error.
+    """
+    kernels = {value: [(name, build(method, model, **options), method in ("pf", "ppf")) for name, model, method, options in some] for value, some in entrants.items()}
+    empty = F.col("y").isNull() | F.exists("y", lambda v: v.isNull())
+    rows = df.withColumn("y", F.when(empty, F.raise_error(F.lit("an observation is null"))).otherwise(F.col("y")))
+    rows = rows.repartition(partitions_of(df), "value", "series").sortWithinPartitions("value", "series", "ord_0").select("value", "series", "x_true", "y")
+    key_type = df.schema["series"].dataType.simpleString()
+    names = ["value", "method", "series", "k", "x_true", "y", "status", *output]
+
+    def run(batches):
+        folds, at = [], None
+        for batch in batches:
+            for value, part in runs_of(batch, 0):
+                if value not in kernels:
+                    raise ParamError(f"no filters for {value}")
+                if value != at:
+                    folds, at = [(name, Fold(kernel, None, "skip"), particles) for name, kernel, particles in kernels[value]], value
+                keys, y = keys_of(part.column(1)), part.column(3).flatten().to_numpy().reshape(len(part), -1)
+                for name, fold, particles in folds:
+                    _, k, status, out = fold.run(keys, y)
+                    columns = [part.column(0), pa.array([name] * len(part)), part.column(1), pa.array(k), part.column(2), part.column(3), pa.array(status.astype(np.int32))]
+                    columns += [nested(out[c], k > 0 if particles and c in ("innov", "s", "gain") else None) for c in output]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "".join(f", {c} {'array<double>' if c in VECTORS else 'array<array<double>>'}" for c in output)
+    return rows.mapInArrow(run, f"value double, method string, series {key_type}, k bigint, x_true array<double>, y array<double>, status int{kinds}")
+
+
 def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output: tuple[str, ...] = ("x_pred", "p_pred", "innov", "s", "gain", "x_upd", "p_upd"), limit: int | None = None, on_error: str = "raise", missing: str = "raise", **options) -> DataFrame:
     """Filters observations(...): series, k (from 0), x_true, y, status and the columns of output.
 
@@ -127,9 +180,7 @@ def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output:
             y = batch.column(2).flatten().to_numpy().reshape(len(batch), -1)
             if y.shape[1] != model.dim_y:
                 raise ParamError(f"the model has {model.dim_y} observations, the rows have {y.shape[1]}")
-            keys = np.empty(len(batch), object)
-            keys[:] = batch.column(0).to_pylist()
-            keep, k, status, out = fold.run(keys, y)
+            keep, k, status, out = fold.run(keys_of(batch.column(0)), y)
             chosen = pa.array(keep)
             later = k[keep] > 0
             columns = [batch.column(0).take(chosen), pa.array(k[keep]), batch.column(1).take(chosen), batch.column(2).take(chosen), pa.array(status[keep].astype(np.int32))]

@@ -144,9 +144,9 @@ class Linear(Extended):
 class Unscented(Gaussian):
     """Unscented filter on the joint state and noise, for any form of model."""
 
-    def __init__(self, model: Model, sigma_set: str = "wan2000"):
+    def __init__(self, model: Model, sigma_set: str = "wan2000", alpha: float = sigma.ALPHA, beta: float = sigma.BETA, kappa: float = sigma.KAPPA):
         super().__init__(model)
-        self.unit, self.wm, self.wc = sigma.points(sigma_set, model.dim_x + model.dim)
+        self.unit, self.wm, self.wc = sigma.points(sigma_set, model.dim_x + model.dim, alpha, beta, kappa)
         self.noise_factor = factor(model.noise[None])[0]
 
     def predict(self, state: State) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +162,11 @@ class Unscented(Gaussian):
 class UnscentedClassic(Gaussian):
     """Unscented filter with separate state and measurement steps; not for pairwise models."""
 
-    def __init__(self, model: Model, sigma_set: str = "wan2000"):
+    def __init__(self, model: Model, sigma_set: str = "wan2000", alpha: float = sigma.ALPHA, beta: float = sigma.BETA, kappa: float = sigma.KAPPA):
         if model.pairwise:
             raise FilterError("ukf can't run a pairwise model")
         super().__init__(model)
-        self.unit, self.wm, self.wc = sigma.points(sigma_set, model.dim_x)
+        self.unit, self.wm, self.wc = sigma.points(sigma_set, model.dim_x, alpha, beta, kappa)
         k, q = model.dim_x, model.noise
         self.qx, self.r, self.cross, self.h = q[:k, :k], q[k:, k:], None, None
         if model.linear:
@@ -333,7 +333,7 @@ class PairwiseParticles(Particles):
 
 
 METHODS = {"pkf": Linear, "epkf": Extended, "upkf": Unscented, "ukf": UnscentedClassic, "pf": Particles, "ppf": PairwiseParticles}
-_OPTIONS = {"pkf": (), "epkf": (), "upkf": ("sigma_set",), "ukf": ("sigma_set",), "pf": ("n_particles", "resampling", "threshold", "clip", "seed"), "ppf": ("n_particles", "resampling", "threshold", "clip", "seed")}
+_OPTIONS = {"pkf": (), "epkf": (), "upkf": ("sigma_set", "alpha", "beta", "kappa"), "ukf": ("sigma_set", "alpha", "beta", "kappa"), "pf": ("n_particles", "resampling", "threshold", "clip", "seed"), "ppf": ("n_particles", "resampling", "threshold", "clip", "seed")}
 
 
 def build(method: str, model: Model, **options) -> Gaussian:

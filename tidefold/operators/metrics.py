@@ -133,9 +133,9 @@ def tail_difference(a: DataFrame, b: DataFrame, tail: int = 50) -> DataFrame:
     return both.join(last, "series").where(F.col("k") > F.col("_last") - tail).groupBy("series").agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("difference"))
 
 
-def over_seeds(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
-    """Mean and population standard deviation of values over runs; values that aren't finite are left out."""
-    out = []
+def over_seeds(df: DataFrame, values: list[str], by: list[str], counted: bool = False) -> DataFrame:
+    """Mean and population standard deviation of values over runs; values that aren't finite are left out. counted: with n, the number of runs."""
+    out = [F.count("*").alias("n")] if counted else []
     for v in values:
         fine = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), F.col(v))
         out += [F.avg(fine).alias(f"{v}_mean"), F.stddev_pop(fine).alias(f"{v}_std")]

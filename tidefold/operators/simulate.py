@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidefold.errors import ParamError
 from tidefold.functions.algebra import COLUMNS
 from tidefold.functions.rng import normal_column
-from tidefold.operators.filters import nested
+from tidefold.operators.filters import keys_of, nested, partitions_of, runs_of
 from tidefold.operators.kernels import factor
 from tidefold.plans.models import Model
 
@@ -35,6 +35,28 @@ def noise_columns(model: Model, seed: Column, series: Column, k: Column) -> list
     return out + out[model.dim_x - model.dim_y :] if model.form == "augmented" else out
 
 
+class Course:
+    """Advances trajectories over batches of rows that come sorted by series; the last series' state goes over to the next batch."""
+
+    def __init__(self, model: Model):
+        self.model, self.key, self.state = model, None, None
+
+    def run(self, keys: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """z of each row, from its noise v, which is z itself at k = 0."""
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.concatenate((first, [len(keys)])))
+        z = np.empty_like(v)
+        state = np.zeros((len(first), v.shape[1]))
+        if self.state is not None and keys[0] == self.key:
+            state[0] = self.state
+        for t in range(int(size.max())):
+            live = np.flatnonzero(size > t)
+            at = first[live] + t
+            state[live] = z[at] = np.where((k[at] == 0)[:, None], v[at], self.model.g_numpy(state[live], v[at]))
+        self.key, self.state = keys[-1], state[-1]
+        return z
+
+
 def simulate(spark: SparkSession, model: Model, steps: int, n_series: int = 1, seed: int = 42) -> DataFrame:
     """(series, k, x, y): steps + 1 rows for each of n_series trajectories. The same numbers for every partitioning."""
     return simulate_for(spark.range(n_series).select(F.col("id").alias("series"), F.lit(seed).cast("long").alias("seed")), model, steps)
@@ -50,31 +72,48 @@ def simulate_for(keys: DataFrame, model: Model, steps: int) -> DataFrame:
     key_type = keys.schema["series"].dataType.simpleString()
 
     def run(batches):
-        last_key, last = None, None
+        course = Course(model)
         for batch in batches:
-            if not len(batch):
-                continue
-            k = batch.column(1).to_numpy()
-            v = batch.column(2).flatten().to_numpy().reshape(len(batch), -1)
-            keys = np.empty(len(batch), object)
-            keys[:] = batch.column(0).to_pylist()
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            size = np.diff(np.concatenate((first, [len(keys)])))
-            z = np.empty_like(v)
-            state = np.zeros((len(first), v.shape[1]))
-            if last is not None and keys[0] == last_key:
-                state[0] = last
-            for t in range(int(size.max())):
-                live = np.flatnonzero(size > t)
-                at = first[live] + t
-                new = np.where((k[at] == 0)[:, None], v[at], model.g_numpy(state[live], v[at]))
-                state[live] = z[at] = new
-            last_key, last = keys[-1], state[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nested(z[:, : model.dim_x]), nested(z[:, model.dim_x :])], ["series", "k", "x", "y"])
+            if len(batch):
+                z = course.run(keys_of(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().reshape(len(batch), -1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nested(z[:, : model.dim_x]), nested(z[:, model.dim_x :])], ["series", "k", "x", "y"])
 
     return rows.mapInArrow(run, f"series {key_type}, k bigint, x array<double>, y array<double>")
 
 
+def simulate_each(keys: DataFrame, chosen: dict[float, Model], steps: int) -> DataFrame:
+    """(value, series, k, x, y) for a table of (value, series, seed): trajectories of chosen[value], all in one plan with one shuffle.
+
+    The models must be of one size and none augmented. A value that chosen doesn't hold is an error.
+    """
+    if not isinstance(steps, int) or steps <= 0:
+        raise ParamError("steps must be a positive integer")
+    if len({(m.dim_x, m.dim_y) for m in chosen.values()}) != 1 or any(m.form == "augmented" for m in chosen.values()):
+        raise ParamError("the models of a table must be of one size, and not augmented")
+    dim_x, dim = next((m.dim_x, m.dim) for m in chosen.values())
+    factors = {value: (m.mean, factor(m.prior[None])[0].T, factor(m.noise[None])[0].T) for value, m in chosen.items()}
+    rows = keys.select("value", "series", "seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("k"))
+    rows = rows.select("value", "series", "k", F.array(*[normal_column(F.col("seed"), F.col("series"), F.col("k"), F.lit(i)) for i in range(dim)]).alias("v"))
+    rows = rows.repartition(partitions_of(keys), "value", "series").sortWithinPartitions("value", "series", "k")
+    key_type = keys.schema["series"].dataType.simpleString()
+
+    def run(batches):
+        course, at = None, None
+        for batch in batches:
+            for value, part in runs_of(batch, 0):
+                if value not in chosen:
+                    raise ParamError(f"no model for {value}")
+                if value != at:
+                    course, at = Course(chosen[value]), value
+                mean, start, later = factors[value]
+                k, normal = part.column(2).to_numpy(), part.column(3).flatten().to_numpy().reshape(len(part), -1)
+                v = np.where((k == 0)[:, None], mean + normal @ start, normal @ later)
+                z = course.run(keys_of(part.column(1)), k, v)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), nested(z[:, :dim_x]), nested(z[:, dim_x:])], ["value", "series", "k", "x", "y"])
+
+    return rows.mapInArrow(run, f"value double, series {key_type}, k bigint, x array<double>, y array<double>")
+
+
 def as_observations(trajectories: DataFrame) -> DataFrame:
     """Trajectories as input of filter_series, with their truth."""
     return trajectories.select("series", F.col("k").alias("ord_0"), F.col("x").alias("x_true"), "y")

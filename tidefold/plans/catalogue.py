@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.operators import diagnostics, metrics, native, prepare, sigma, simulate, weights
-from tidefold.operators.filters import filter_series, observations
+from tidefold.operators.filters import filter_each, filter_series, observations
 from tidefold.plans import models
 from tidefold.plans import sql_text as st
 from tidefold.plans.models import Model
@@ -257,29 +257,27 @@ def sine_pairwise(_: float = 0.0) -> tuple[Model, list[Entrant]]:
 def runs(spark: SparkSession, make: Callable[[float], tuple[Model, list[Entrant]]], values: tuple[float, ...], seeds: tuple[int, ...] = GRID_SEEDS, steps: int = GRID_STEPS) -> DataFrame:
     """(value, method, seed, mse, mae, nees, nis, failed): all filters of a value on the same trajectories, one for each seed.
 
-    Scores are those of x; nis is null for particle filters. failed: some step of the run has no result.
+    Scores are those of x, over all its components; nis is null for particle filters. failed: some step of the run has no result.
     """
-    out = None
-    keys = spark.createDataFrame([(s, s) for s in seeds], "series bigint, seed bigint")
+    chosen, entrants = {}, {}
     for v in values:
-        model, entrants = make(v)
-        rows = simulate.as_observations(simulate.simulate_for(keys, model, steps))
-        for name, believed, method, options in entrants:
-            steps_of = filter_series(rows, believed, method, output=("innov", "s", "x_upd", "p_upd"), on_error="skip", **options)
-            scores = metrics.with_nis(metrics.with_nees(metrics.state_part(steps_of, model.dim_x), model.dim_x), model.dim_y)
-            e = F.col("x_true")[0] - F.col("x_upd")[0]
-            nis = F.lit(None).cast("double") if method in ("pf", "ppf") else F.avg("nis")
-            one = scores.groupBy(F.col("series").alias("seed")).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg("nees").alias("nees"), nis.alias("nis"), (F.max("status") > 0).alias("failed"))
-            one = one.select(F.lit(float(v)).alias("value"), F.lit(name).alias("method"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+        chosen[float(v)], entrants[float(v)] = make(v)
+    first = next(iter(chosen.values()))
+    keys = spark.createDataFrame([(float(v), s, s) for v in values for s in seeds], "value double, series bigint, seed bigint")
+    rows = simulate.simulate_each(keys, chosen, steps).select("value", "series", F.col("k").alias("ord_0"), F.col("x").alias("x_true"), "y")
+    steps_of = filter_each(rows, entrants, output=("innov", "s", "x_upd", "p_upd"))
+    scores = metrics.with_nis(metrics.with_nees(metrics.state_part(steps_of, first.dim_x), first.dim_x), first.dim_y)
+    e = [F.col("x_true")[i] - F.col("x_upd")[i] for i in range(first.dim_x)]
+    clouds = sorted({name for some in entrants.values() for name, _, method, _ in some if method in ("pf", "ppf")})
+    nis = F.when(~F.col("method").isin(clouds), F.col("nis")) if clouds else F.col("nis")
+    by = ["value", "method", F.col("series").alias("seed")]
+    return scores.groupBy(*by).agg(F.avg(sum(c * c for c in e) / len(e)).alias("mse"), F.avg(sum(F.abs(c) for c in e) / len(e)).alias("mae"), F.avg("nees").alias("nees"), F.avg(nis).alias("nis"), (F.max("status") > 0).alias("failed"))
 
 
 def over_runs(df: DataFrame) -> DataFrame:
     """(value, method, n, mean and standard deviation of mse and nees). A seed at which some filter fails counts for none."""
     fine = df.withColumn("_out", F.max("failed").over(Window.partitionBy("value", "seed"))).where(~F.col("_out"))
-    counts = fine.groupBy("value", "method").agg(F.count("*").alias("n"))
-    return metrics.over_seeds(fine, ["mse", "nees"], ["value", "method"]).join(counts, ["value", "method"]).select("value", "method", "n", *[r(c).alias(c) for c in ("mse_mean", "mse_std", "nees_mean", "nees_std")])
+    return metrics.over_seeds(fine, ["mse", "nees"], ["value", "method"], counted=True).select("value", "method", "n", *[r(c).alias(c) for c in ("mse_mean", "mse_std", "nees_mean", "nees_std")])
 
 
 add("sweep_b", lambda s, d: over_runs(runs(s, back_action, B_GRID)))
@@ -304,6 +302,42 @@ def shared_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 
 add("shared_trajectory", shared_trajectory)
 
+# The particle filters' experiments, and their trajectories' seed.
+PARTICLE_COUNTS, RESAMPLINGS, THRESHOLDS = (50, 100, 200, 500, 1000), weights.METHODS, (0.1, 0.25, 0.5, 0.75, 1.0)
+ONE_SEED = (42,)
+
+
+def particle_settings(pairwise: float) -> tuple[Model, list[Entrant]]:
+    """Particle filters of many settings: numbers of particles, and on the classic model (0) ways and thresholds of resampling too."""
+    if pairwise:
+        model = models.create("model_x2_y1_pairwise")
+        return model, [(f"ppf_{n}", model, "ppf", {"n_particles": n, "seed": 3}) for n in PARTICLE_COUNTS]
+    model = models.create("model_x2_y1_classic")
+    some = [(f"pf_{n}", {"n_particles": n}) for n in PARTICLE_COUNTS] + [(f"pf_{how}", {"n_particles": GRID_PARTICLES, "resampling": how}) for how in RESAMPLINGS]
+    some += [(f"pf_threshold_{share}", {"n_particles": GRID_PARTICLES, "threshold": share}) for share in THRESHOLDS]
+    return model, [(name, model, "pf", options | {"seed": 3}) for name, options in some]
+
+
+def three_filters(pairwise: float) -> tuple[Model, list[Entrant]]:
+    """Extended, unscented and particle filters of the classic (0) or pairwise model of two states."""
+    model, cloud = models.create("model_x2_y1_pairwise" if pairwise else "model_x2_y1_classic"), "ppf" if pairwise else "pf"
+    return model, [("epkf", model, "epkf", {}), ("upkf", model, "upkf", {}), (cloud, model, cloud, {"n_particles": GRID_PARTICLES, "seed": 3})]
+
+
+def predator_prey(_: float) -> tuple[Model, list[Entrant]]:
+    model = models.create("model_x1_y1_LotkaVolterra_pairwise")
+    return model, [("epkf", model, "epkf", {}), ("upkf", model, "upkf", {}), ("ppf", model, "ppf", {"n_particles": GRID_PARTICLES, "seed": 3})]
+
+
+def linear_three_ways(_: float) -> tuple[Model, list[Entrant]]:
+    """Filters that agree on a linear model."""
+    model = models.create("model_x2_y2_AQ_classic")
+    return model, [(method, model, method, {}) for method in ("pkf", "epkf", "upkf")]
+
+
+for _name, _make, _values, _steps in (("particle_sweep", particle_settings, (0.0, 1.0), 500), ("three_filters", three_filters, (0.0, 1.0), 500), ("three_filters_predator_prey", predator_prey, (0.0,), 200), ("linear_three_ways", linear_three_ways, (0.0,), 500)):
+    add(_name, lambda s, d, m=_make, v=_values, n=_steps: runs(s, m, v, ONE_SEED, n).select("value", "method", *[r(c).alias(c) for c in ("mse", "mae", "nees", "nis")], "failed"))
+
 # Small grids of the same filters, which SQL can follow.
 B_VALUES, Q_VALUES, SEEDS, SWEEP_STEPS = (0.5, 1.5, 3.0), (0.05, 0.10, 0.20), 5, 50
 
