@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm import exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity
+from tidefold.llm import exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity, turn_repair
 from tidefold.llm.common import read
 
 
@@ -48,7 +50,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality)}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality, op12_turn_repair)}
 
 _SECRETS = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
@@ -80,4 +86,37 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-SQL = {"op2_secret_scan": _SECRETS, "op4_exact_dedup": _DEDUP}
+# crc32 byte by byte, over a table made by its rule; then the same states turn by turn, a cost of twelve digits before each audit.
+def _added(m: re.Match) -> str:
+    """<state,cost,letter>: the state's key with the cost and the letter added."""
+    state, cost, letter = m[1], m[2], m[3]
+    return f"(lpad(CAST(least(CAST({state}[1:6] AS BIGINT) + {cost}, 999999) AS VARCHAR), 6, '0') || {state}[7:] || '{letter}')"
+
+
+_REPAIR = re.sub(r"<(\w+),([^,<>]+),(\w)>", _added, r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+hashed AS (SELECT k.*, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)), lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 20 AS d FROM keyed k, tab),
+rows AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE d <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM rows),
+faulty AS (SELECT *, role[1] AS i, coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] NOT IN ('su', 'ua', 'au'), false) AS bad,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+f AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 500000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS kept FROM faulty),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS place, '000000' AS e, '900000' AS s, '900000' AS u, '900000' AS a FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, place, <e,2,D>, least(<s,2,D>, CASE WHEN i = 's' THEN <e,kept,K> ELSE '999999' END),
+    least(<iu,2,D>, CASE WHEN i = 'u' THEN <top,kept,K> ELSE <top,kept + 1,R> END), least(<ia,2,D>, CASE WHEN i = 'a' THEN <iu,kept,K> ELSE <iu,kept + 1,R> END)
+  FROM (SELECT *, least(e, s, ia) AS top FROM (SELECT w.conv_id, f.place, f.i, f.kept, e, s, least(u, <e,5,I>, <s,5,I>, <a,5,I>) AS iu, least(a, <u,5,I>) AS ia FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.place = w.place + 1))),
+best AS (SELECT conv_id, least(e, a, <u,5,I>) AS b FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+tokens AS (SELECT conv_id, CAST(b[1:6] AS BIGINT) AS cost, b[7:] AS audit, regexp_extract_all(b[7:], 'I*[KRD]') AS parts FROM best),
+letters AS (SELECT t.conv_id, place, x, CASE WHEN x = 'I' THEN '' ELSE f.role END AS role, CASE WHEN x = 'I' THEN '' ELSE f.text END AS text, n FROM tokens t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id, (SELECT unnest(range(1, 9)) AS n) k, (SELECT unnest(['I', 'K', 'R']) AS x) l WHERE parts[place][n] = x
+  UNION ALL SELECT conv_id, 1 + len(parts), 'I', '', '', 1 FROM tokens WHERE audit LIKE '%I' ),
+stay AS (SELECT *, row_number() OVER o - 1 AS j, first_value(x = 'K' AND role[1] = 's') OVER o AS lead FROM letters WINDOW o AS (PARTITION BY conv_id ORDER BY place, n)),
+digest AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (j - CAST(lead AS INTEGER)) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS body FROM stay GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN tokens t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN digest g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+
+SQL = {"op2_secret_scan": _SECRETS, "op4_exact_dedup": _DEDUP, "op12_turn_repair": _REPAIR}
