@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm import exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity, turn_repair
+from tidefold.llm import collocations, exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity, turn_repair
 from tidefold.llm.common import read
 
 
@@ -54,7 +54,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_damaged(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality, op12_turn_repair)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality, op12_turn_repair, op13_collocations)}
 
 _SECRETS = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
@@ -119,4 +123,19 @@ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN tokens t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN digest g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
 """)
 
-SQL = {"op2_secret_scan": _SECRETS, "op4_exact_dedup": _DEDUP, "op12_turn_repair": _REPAIR}
+_COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS m) ms)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+i AS (SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS around FROM (SELECT lang, w, m, a, k, unnest(range(1, m - k + 2)) AS s FROM c, (SELECT unnest(range(2, 4)) AS k) ks WHERE k < m) GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, m)) AS cut FROM c LEFT JOIN i USING (lang, phrase) WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+s AS (SELECT k.lang, k.phrase, k.a, k.cut, x.a AS l, y.a AS r, CAST((2000000 * CAST(k.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:cut], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL = {"op2_secret_scan": _SECRETS, "op4_exact_dedup": _DEDUP, "op12_turn_repair": _REPAIR, "op13_collocations": _COLLOCATIONS}
