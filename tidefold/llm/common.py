@@ -53,6 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that a caller writes; they go as those of stored do."""
+    if not _written:
+        atexit.register(_at_exit, spark)
+    _written.append(path := f"{shared_folder(spark)}/tidefold-{name}-{uuid.uuid4().hex}")
+    return path
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes all that stored has written so far: for long sessions, once the results are used or written elsewhere."""
     while _written:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm import collocations, exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, toxicity, turn_repair
+from tidefold.llm import collocations, exact_dedup, language_id, lattice_lm, mixing, ngram_join, packing, quality, quality_rules, secret_scan, token_files, toxicity, turn_repair
 from tidefold.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_query(read(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_damaged(read(spark, sf_dir, "conversations"))
 
@@ -58,7 +62,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality, op12_turn_repair, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_toxicity, op4_exact_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_language_id, op9_lattice_lm, op10_quality, op11_token_planes, op12_turn_repair, op13_collocations)}
 
 _SECRETS = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
