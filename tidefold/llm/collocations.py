@@ -22,8 +22,8 @@ from tidefold.llm.common import LOWER, Words, in_arrow, looked_up, mixed, releas
 BREAK_BYTES = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
 WORD_BYTES = ~BREAK_BYTES & np.array([b not in (9, 32) for b in range(256)])
 #: Bytes of whole texts that a task takes apart at once.
-RUN_BYTES = 4 << 20
-#: Up to so many frequent words (16 bytes each) go to every task; beyond it words and their counts meet by a shuffle.
+RUN_BYTES = 1 << 20
+#: Up to so many frequent words (21 bytes each) go to every task; beyond it words and their counts meet by a shuffle.
 MOST_WORDS = 2_000_000
 #: Parts into which the fragments of a frequent pivot, and the phrases of a language, are dealt.
 PARTS = 64
@@ -117,16 +117,16 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
     names = ["lang_key", "pivot", "salt", *_sides(most), "n"]
     schema = ", ".join(f"{c} {'int' if c == 'salt' else 'bigint'}" for c in names)
     if words.limit(most_words + 1).count() <= most_words:
-        table = words.select("key", "n").toArrow()
-        key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        table = words.select("key", "n", "id").toArrow()
+        key, n, name = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("id").to_numpy()
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        key, n, name = key[order], n[order], name[order]
         rank = np.empty(len(key), np.int32)
-        rank[np.lexsort((key, -n))] = np.arange(len(key))
-        sent = base.sparkSession.sparkContext.broadcast((key, rank, n >= hot))
+        rank[np.lexsort((name, -n))] = np.arange(len(key))
+        sent = base.sparkSession.sparkContext.broadcast((key, rank, n >= hot, name))
 
         def run(batches):
-            key, rank, often = sent.value
+            key, rank, often, name = sent.value
             for _, codes, r in _runs(batches):
                 if not len(r.key) or not len(key):
                     continue
@@ -134,7 +134,7 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
                 own = np.where(key[at] == r.key, rank[at], -1)
                 left, right = neighbours(own, r.joined, most)
                 some = np.flatnonzero(left[0] | right[0])
-                ids = r.key.view(np.int64)
+                ids = name[at]
                 columns, masks = [ids[some]], [np.zeros(len(some), bool)]
                 for sign, flags in ((-1, left), (1, right)):
                     for d, flag in enumerate(flags, 1):
@@ -162,26 +162,26 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
             row += len(codes)
 
     places = stored(base.transform(in_arrow, placed, "row bigint, lang_key bigint, pos bigint, piece bigint, key bigint"), "places")
-    known = looked_up(places, words.select("key", F.col("n").alias("f")), "key", "f", total).where("f is not null")
+    known = looked_up(places, words.select("key", "id", F.col("n").alias("f")), "key", "f", total).where("f is not null")
     w = Window.partitionBy("row").orderBy("pos")
-    one = F.struct("pos", "piece", "key", "f")
+    one = F.struct("pos", "piece", "id", "f")
     near = {f"l{d}": F.lag(one, d).over(w) for d in range(1, most + 1)} | {f"r{d}": F.lead(one, d).over(w) for d in range(1, most + 1)}
-    rows = known.select("lang_key", "pos", "piece", F.col("key").alias("pivot"), "f", *[v.alias(f"_{c}") for c, v in near.items()])
+    rows = known.select("lang_key", "pos", "piece", F.col("id").alias("pivot"), "f", *[v.alias(f"_{c}") for c, v in near.items()])
     out: dict[str, Column] = {}
     for side, sign in (("l", -1), ("r", 1)):
         before = F.lit(True)
         for d in range(1, most + 1):
             x = F.col(f"_{side}{d}")
-            same = (x["key"] == F.col("pivot")) if side == "r" else F.lit(False)
-            before = before & F.coalesce((x["pos"] == F.col("pos") + sign * d) & (x["piece"] == F.col("piece")) & ((x["f"] > F.col("f")) | ((x["f"] == F.col("f")) & ((x["key"] < F.col("pivot")) | same))), F.lit(False))
-            out[f"{side}{d}"] = F.when(before, x["key"])
+            same = (x["id"] == F.col("pivot")) if side == "r" else F.lit(False)
+            before = before & F.coalesce((x["pos"] == F.col("pos") + sign * d) & (x["piece"] == F.col("piece")) & ((x["f"] > F.col("f")) | ((x["f"] == F.col("f")) & ((x["id"] < F.col("pivot")) | same))), F.lit(False))
+            out[f"{side}{d}"] = F.when(before, x["id"])
     rows = rows.select("lang_key", "pivot", "f", *[v.alias(c) for c, v in out.items()]).where("l1 is not null or r1 is not null")
     spread = F.when(F.col("f") >= hot, 1 + F.pmod(F.xxhash64("pivot", *out), F.lit(PARTS))).otherwise(0).cast("int")
     return rows.select("lang_key", "pivot", spread.alias("salt"), *out).groupBy(*names[:-1]).agg(F.count("*").alias("n"))
 
 
 def _phrases(longest: int) -> Column:
-    """All phrases of a fragment that hold its pivot, as arrays of word keys; null where the fragment is too short."""
+    """All phrases of a fragment that hold its pivot, as arrays of word ids; null where the fragment is too short."""
     made = []
     for left in range(longest):
         for right in range(longest - left):
@@ -195,13 +195,13 @@ def _phrases(longest: int) -> Column:
 def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_col: str = "lang", text_col: str = "text", most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, words, languages), stored.
 
-    phrases: lang_key, phrase (array of word keys), a: all phrases of 2 to longest words that come least times or more.
-    words: lang, lang_key, key, word, n of words that come so often. languages: lang, n, the count of all words.
+    phrases: lang_key, phrase (array of word ids), a: all phrases of 2 to longest words that come least times or more.
+    words: lang, lang_key, key, word, n and id (short numbers, which pack well) of words that come so often. languages: lang, n, the count of all words.
     """
     base = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     table = base.transform(in_arrow, _counted, "lang string, lang_key bigint, key bigint, word string, n bigint")
     table = stored(table.groupBy("lang", "lang_key", "key", "word").agg(F.sum("n").alias("n")), "word-counts")
-    words = stored(table.where(F.col("n") >= least), "frequent-words")
+    words = stored(table.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent-words")
     languages = stored(table.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
     total = languages.agg(F.sum("n")).first()[0] or 0
     some = _fragments(base, words, total, longest - 1, most_words)
@@ -220,7 +220,7 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int
     into l and r, that makes it lowest; n counts the language's words. Sorted by score, a (falling) and phrase.
 
     Words are counted first; those that come least times, at most most_words, go to every task, beyond that by a shuffle.
-    What follows moves word keys only: fragments to their pivots, then the phrases found. Pivots of at least 1/HOT of all
+    What follows moves word ids only: fragments to their pivots, then the phrases found. Pivots of at least 1/HOT of all
     words are dealt over PARTS tasks. Words are told by 64-bit hashes.
 
     A null language is und, a null text is empty. Rows that repeat count each. Ids and other columns aren't read. A language
@@ -235,7 +235,7 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int
     kept = both.where(F.col("around").isNull() | (wide("around") * 100 < wide("a") * share))
     cuts = kept.select("lang_key", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size("phrase") - 1)).alias("k"))
     cuts = cuts.withColumns({"first": F.expr("slice(phrase, 1, k)"), "rest": F.expr("slice(phrase, k + 1, size(phrase) - k)")})
-    counts = phrases.select("lang_key", "phrase", "a").unionByName(words.select("lang_key", F.array("key").alias("phrase"), F.col("n").alias("a")))
+    counts = phrases.select("lang_key", "phrase", "a").unionByName(words.select("lang_key", F.array("id").alias("phrase"), F.col("n").alias("a")))
     for part, name in (("first", "l"), ("rest", "r")):
         cuts = cuts.join(counts.select("lang_key", F.col("phrase").alias(part), F.col("a").alias(name)), ["lang_key", part])
     score = F.expr("cast(2000000 * cast(a AS decimal(20,0)) div (cast(l AS decimal(20,0)) + cast(r AS decimal(20,0))) AS bigint)")
@@ -243,7 +243,7 @@ def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int
     # Each part of a language keeps its own first ones, with all that tie with the last; words are put in only then.
     part = Window.partitionBy("lang_key", F.pmod(F.hash("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"))
     first = stored(best.withColumn("_rank", F.rank().over(part)).where(F.col("_rank") <= top).drop("_rank"), "first-phrases")
-    spelt = first.select("lang_key", "phrase", F.posexplode("phrase").alias("_at", "key")).join(words.select("lang_key", "key", "lang", "word"), ["lang_key", "key"])
+    spelt = first.select("lang_key", "phrase", F.posexplode("phrase").alias("_at", "id")).join(words.select("lang_key", "id", "lang", "word"), ["lang_key", "id"])
     spelt = spelt.groupBy("lang_key", "phrase").agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias("text"))
     rows = first.join(spelt, ["lang_key", "phrase"]).join(languages, "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "text"))
