@@ -75,9 +75,9 @@ class Tokens:
             self.known.update((words[i], out[i]) for i in new[:room] if len(words[i]) <= 32)
         return out
 
-    def of(self, texts: pa.Array):
+    def of(self, texts: pa.Array, run_bytes: int = RUN_BYTES):
         """Yields (first row, ids, first id of each row and one more) of runs of texts; each text ends with END_ID."""
-        for a, b, raw, offsets in text_runs(texts, RUN_BYTES):
+        for a, b, raw, offsets in text_runs(texts, run_bytes):
             data = LOWER[raw]
             w = Words(data, offsets, NON_BLANK_BYTES)
             kind = _KIND[data]

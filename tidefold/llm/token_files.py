@@ -22,13 +22,21 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import common
 from tidefold.llm.common import in_arrow, released
-from tidefold.llm.packing import tokens
+from tidefold.llm.packing import Tokens
 
 MAGIC = b"TFP1"
 HEADER = struct.Struct("<4sBBII")
 PLANES = {"byte": 0, "bit": 1}
 #: Ids of a block, and how hard planes are compressed.
 BLOCK, LEVEL = 65_536, 3
+#: Bytes of whole texts that are encoded at once, and units that a process remembers: each unit of a run is looked at once.
+RUN_BYTES, REMEMBERED = 4 << 20, 400_000
+
+
+@lru_cache(maxsize=1)
+def tokens(path: str) -> Tokens:
+    """One for a process, however many tasks it runs."""
+    return Tokens(path, REMEMBERED)
 
 
 @lru_cache(maxsize=8)
@@ -148,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
 
         for batch in released(batches):
             id_type = batch.column(0).type
-            for a, ids, edges in encoder.of(batch.column(1)):
+            for a, ids, edges in encoder.of(batch.column(1), RUN_BYTES):
                 yield from rows_of(cut.add(batch.column(0).slice(a, len(edges) - 1).to_pylist(), ids, edges))
         yield from rows_of(cut.end())
 
