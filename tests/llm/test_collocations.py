@@ -75,12 +75,39 @@ def test_a_text_in_many_pieces_and_none(spark):
 
 def test_rows_whose_hashes_are_equal(monkeypatch):
     columns = [np.array([5, 7, 5, 9, 7], np.int64), np.array([1, 2, 1, 1, 3], np.int64)]
-    want = Counter(zip(*[x.tolist() for x in columns], strict=True))
+    rows = list(zip(*[x.tolist() for x in columns], strict=True))
     for equal in (False, True):
         if equal:
             monkeypatch.setattr(c, "mixed", lambda h: h * np.uint64(0))
-        first, n = c._distinct(columns)
-        assert {(columns[0][i], columns[1][i]): k for i, k in zip(first.tolist(), n.tolist(), strict=True)} == want
+        first, back = c._grouped(columns)
+        assert sorted(rows[i] for i in first) == sorted(set(rows)) and [rows[first[k]] for k in back] == rows
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_mining_a_few_fragments_at_a_time(monkeypatch, size):
+    """Pivots that don't fit give parts, whose sums are those of all at once."""
+    monkeypatch.setattr(c, "MINED", size)
+    rng = np.random.default_rng(6)
+    # Pivots are told from other words by their numbers, so a phrase shows its shape.
+    rows = np.stack([np.zeros(300, np.int64), 10 + np.sort(rng.integers(0, 6, 300)), np.zeros(300, np.int64), *rng.integers(-1, 3, (6, 300)), rng.integers(1, 4, 300)])
+    for d in (1, 2, 4, 5):
+        rows[3 + d] = np.where(rows[2 + d] == c.NONE, c.NONE, rows[3 + d])
+    want = Counter()
+    for r in rows.T.tolist():
+        left, right = [x for x in r[3:6] if x >= 0], [x for x in r[6:9] if x >= 0]
+        for i in range(len(left) + 1):
+            for j in range(len(right) + 1):
+                if 1 <= i + j <= 3:
+                    want[(*left[:i][::-1], r[1], *right[:j])] += r[-1]
+    miner, got = c.Miner(5, 4), Counter()
+    for at in range(0, 300, 7):
+        for made in (miner.add(rows[:, at : at + 7]), miner.end() if at + 7 >= 300 else ()):
+            for _, words, total in made:
+                for k, n in enumerate(total.tolist()):
+                    got[tuple(int(w[k]) for w in words)] += n
+    frequent = {k: n for k, n in want.items() if n >= 5}
+    assert len(frequent) > 20 and {k: got[k] for k in frequent} == frequent and all(n <= want[k] for k, n in got.items())
+    assert size < 1000 or got == frequent
 
 
 def test_query_equals_sql(spark, tables):

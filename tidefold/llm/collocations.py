@@ -20,11 +20,15 @@ from tidefold.llm.common import LOWER, Words, in_arrow, looked_up, mixed, releas
 
 #: Bytes that end a piece, and bytes of words: all but these, space and tab.
 BREAK_BYTES = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
+#: No word: ids are from 0 up.
+NONE = -1
 WORD_BYTES = ~BREAK_BYTES & np.array([b not in (9, 32) for b in range(256)])
 #: Bytes of whole texts that a task takes apart at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 2 << 20
 #: Up to so many frequent words (21 bytes each) go to every task; beyond it words and their counts meet by a shuffle.
 MOST_WORDS = 2_000_000
+#: Fragments that a task mines at once.
+MINED = 400_000
 #: Parts into which the fragments of a frequent pivot, and the phrases of a language, are dealt.
 PARTS = 64
 
@@ -94,17 +98,19 @@ def neighbours(rank: np.ndarray, joined: np.ndarray, most: int) -> tuple[list[np
     return left, right
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each distinct row, how often it comes)."""
+def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct row, which of them each row is)."""
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         h = mixed(h ^ c.view(np.uint64)) + np.uint64(1)
-    _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
     if all((c == c[first[back]]).all() for c in columns):
-        return first, n
+        return first, back
     order = np.lexsort(columns)
     new = np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)))
-    return order[new], np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 def _sides(most: int) -> list[str]:
@@ -112,7 +118,7 @@ def _sides(most: int) -> list[str]:
 
 
 def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_words: int) -> DataFrame:
-    """(lang_key, pivot, salt, l1.., r1.., n): each word's fragment, those of a run of texts that are equal counted once. salt spreads the fragments of pivots that are at least 1/HOT of all words."""
+    """(lang_key, pivot, salt, l1.., r1.., n): each word's fragment, NONE beyond its ends; those of a run of texts that are equal count once. salt spreads the fragments of pivots that are at least 1/HOT of all words."""
     hot = max(total / common.HOT, 2)
     names = ["lang_key", "pivot", "salt", *_sides(most), "n"]
     schema = ", ".join(f"{c} {'int' if c == 'salt' else 'bigint'}" for c in names)
@@ -135,13 +141,13 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
                 left, right = neighbours(own, r.joined, most)
                 some = np.flatnonzero(left[0] | right[0])
                 ids = name[at]
-                columns, masks = [ids[some]], [np.zeros(len(some), bool)]
+                columns = [ids[some]]
                 for sign, flags in ((-1, left), (1, right)):
                     for d, flag in enumerate(flags, 1):
                         on = flag[some]
-                        columns.append(np.where(on, ids[np.where(on, some + sign * d, 0)], 0))
-                        masks.append(~on)
-                first, times = _distinct([*columns, np.packbits(np.array(masks), axis=0, bitorder="little").astype(np.uint64).T @ (np.uint64(256) ** np.arange(-(-len(masks) // 8), dtype=np.uint64))])
+                        columns.append(np.where(on, ids[np.where(on, some + sign * d, 0)], NONE))
+                first, back = _grouped(columns)
+                times = np.bincount(back, minlength=len(first))
                 wide = often[at[some[first]]]
                 spread = np.zeros(len(first), np.int32)
                 if wide.any():
@@ -149,7 +155,7 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
                     for c in columns:
                         mix = mixed(mix ^ c[first].view(np.uint64))
                     spread = np.where(wide, 1 + (mix % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
-                arrays = [pa.array(c[first], mask=m[first]) for c, m in zip(columns, masks, strict=True)]
+                arrays = [pa.array(c[first]) for c in columns]
                 yield pa.RecordBatch.from_arrays([_signed(codes[r.doc[some[first]]]), arrays[0], pa.array(spread), *arrays[1:], pa.array(times.astype(np.int64))], names)
 
         return base.transform(in_arrow, run, schema)
@@ -174,22 +180,90 @@ def _fragments(base: DataFrame, words: DataFrame, total: int, most: int, most_wo
             x = F.col(f"_{side}{d}")
             same = (x["id"] == F.col("pivot")) if side == "r" else F.lit(False)
             before = before & F.coalesce((x["pos"] == F.col("pos") + sign * d) & (x["piece"] == F.col("piece")) & ((x["f"] > F.col("f")) | ((x["f"] == F.col("f")) & ((x["id"] < F.col("pivot")) | same))), F.lit(False))
-            out[f"{side}{d}"] = F.when(before, x["id"])
-    rows = rows.select("lang_key", "pivot", "f", *[v.alias(c) for c, v in out.items()]).where("l1 is not null or r1 is not null")
+            out[f"{side}{d}"] = F.when(before, x["id"]).otherwise(NONE)
+    rows = rows.select("lang_key", "pivot", "f", *[v.alias(c) for c, v in out.items()]).where((F.col("l1") != NONE) | (F.col("r1") != NONE))
     spread = F.when(F.col("f") >= hot, 1 + F.pmod(F.xxhash64("pivot", *out), F.lit(PARTS))).otherwise(0).cast("int")
     return rows.select("lang_key", "pivot", spread.alias("salt"), *out).groupBy(*names[:-1]).agg(F.count("*").alias("n"))
 
 
-def _phrases(longest: int) -> Column:
-    """All phrases of a fragment that hold its pivot, as arrays of word ids; null where the fragment is too short."""
-    made = []
-    for left in range(longest):
-        for right in range(longest - left):
-            if left + right:
-                parts = [F.col(f"l{d}") for d in range(left, 0, -1)] + [F.col("pivot")] + [F.col(f"r{d}") for d in range(1, right + 1)]
-                there = (F.col(f"l{left}").isNotNull() if left else F.lit(True)) & (F.col(f"r{right}").isNotNull() if right else F.lit(True))
-                made.append(F.when(there, F.array(*parts)))
-    return F.array(*made)
+class Miner:
+    """Counts the phrases that hold their pivot in fragments that come sorted by pivot, MINED at a time.
+
+    Where all fragments of a pivot are at hand, only what comes least times grows longer, and only that is given out;
+    those of a salted pivot, or of one that doesn't fit, are all given out, as parts of sums.
+    """
+
+    def __init__(self, least: int, longest: int):
+        self.least, self.longest = least, longest
+        self.held: list[np.ndarray] = []
+        self.cut = None
+
+    def add(self, rows: np.ndarray):
+        """rows: columns lang_key, pivot, salt, l1.., r1.., n."""
+        self.held.append(rows)
+        if sum(x.shape[1] for x in self.held) >= MINED:
+            rows = np.concatenate(self.held, 1)
+            last = (rows[1:3] == rows[1:3, -1:]).all(0)
+            if last.all():
+                # A pivot that doesn't fit: what comes of it from here on are parts as well.
+                self.cut, self.held = tuple(rows[1:3, -1]), []
+                yield from self._mined(rows, np.zeros(rows.shape[1], bool))
+            else:
+                self.held = [rows[:, last]]
+                yield from self._mined(rows[:, ~last], self._whole(rows[:, ~last]))
+
+    def end(self):
+        if self.held:
+            rows = np.concatenate(self.held, 1)
+            yield from self._mined(rows, self._whole(rows))
+
+    def _whole(self, rows: np.ndarray) -> np.ndarray:
+        whole = rows[2] == 0
+        return whole if self.cut is None else whole & ~((rows[1] == self.cut[0]) & (rows[2] == self.cut[1]))
+
+    def _mined(self, rows: np.ndarray, whole: np.ndarray):
+        """(lang_key, words by column, count) of phrases of each shape."""
+        most = self.longest - 1
+        pivot, sides, n = rows[1], rows[3:-1], rows[-1]
+        word = lambda k: pivot if k == 0 else sides[-k - 1] if k < 0 else sides[most + k - 1]
+        alive = {(0, 0): np.ones(rows.shape[1], bool)}
+        for size in range(1, self.longest):
+            for left in range(size + 1):
+                right = size - left
+                ok = np.ones(rows.shape[1], bool)
+                for shorter, far in (((left - 1, right), -left), ((left, right - 1), right)):
+                    if min(shorter) >= 0:
+                        ok &= alive[shorter] & (word(far) != NONE)
+                some = np.flatnonzero(ok)
+                alive[left, right] = ok
+                if not len(some):
+                    continue
+                columns = [word(k)[some] for k in range(-left, right + 1)]
+                first, back = _grouped(columns)
+                total = np.bincount(back, n[some], len(first)).astype(np.int64)
+                enough = (total >= self.least) | ~whole[some[first]]
+                ok[some] = enough[back]
+                first, total = first[enough], total[enough]
+                if len(first):
+                    yield rows[0][some[first]], [c[first] for c in columns], total
+
+
+def _mining(least: int, longest: int):
+    def run(batches):
+        miner = Miner(least, longest)
+
+        def out(made):
+            for lang, words, total in made:
+                flat = np.stack(words, 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(lang), lists, pa.array(total)], ["lang_key", "phrase", "a"])
+
+        for batch in released(batches):
+            if len(batch):
+                yield from out(miner.add(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])))
+        yield from out(miner.end())
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_col: str = "lang", text_col: str = "text", most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -205,9 +279,9 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_co
     languages = stored(table.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
     total = languages.agg(F.sum("n")).first()[0] or 0
     some = _fragments(base, words, total, longest - 1, most_words)
-    # Each pivot's fragments meet in one task, a frequent pivot's in PARTS; sums of the first are final there.
-    some = some.repartition("lang_key", "pivot", "salt").select("lang_key", "pivot", "salt", "n", F.explode(_phrases(longest)).alias("phrase")).where("phrase is not null")
-    local = some.groupBy("lang_key", "pivot", "salt", "phrase").agg(F.sum("n").alias("a")).where((F.col("salt") > 0) | (F.col("a") >= least))
+    # Each pivot's fragments meet in one task, a frequent pivot's in PARTS; sums over the first are final there.
+    some = some.repartition("lang_key", "pivot", "salt").sortWithinPartitions("pivot", "salt")
+    local = some.transform(in_arrow, _mining(least, longest), "lang_key bigint, phrase array<bigint>, a bigint")
     return stored(local.groupBy("lang_key", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases"), words, languages
 
 
