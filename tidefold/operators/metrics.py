@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +76,81 @@ def block_errors(steps: DataFrame, dim_state: int, estimate: str = "x_upd") -> D
     )
 
 
+@dataclass(frozen=True)
+class Pair:
+    """Columns (arrays) to compare under a name; with covariance a NEES, with innovation and its covariance a NIS."""
+
+    name: str
+    truth: str
+    estimate: str
+    covariance: str | None = None
+    innovation: str | None = None
+    innovation_covariance: str | None = None
+    dim: int = 1
+    dim_y: int = 1
+
+
+def compare(rows: DataFrame, pairs: list[Pair], by: str = "series") -> DataFrame:
+    """Scores of any number of pairs in one scan and one aggregate: pair, by, component, mse, mae, rmse, nees, nis, n.
+
+    A row for each pair as a whole (by and component null), by by, by component, and by both. Rows are unpivoted to a row
+    a pair and component, and summed where they lie. nees and nis are of whole vectors, so null where component is set;
+    they leave out values that aren't finite. A pair without truth or estimate on a row leaves that row out.
+    """
+    if len({p.name for p in pairs}) != len(pairs) or not pairs:
+        raise ParamError("pairs need names that differ")
+    none = F.lit(None).cast("double")
+
+    def form(e: Column, c: str | None, dim: int) -> Column:
+        return none if c is None else quadratic_form(e, F.col(c), dim)
+
+    def struct(p: Pair) -> Column:
+        both = F.arrays_zip(F.col(p.truth).alias("t"), F.col(p.estimate).alias("e"))
+        error = F.when(F.col(p.truth).isNotNull() & F.col(p.estimate).isNotNull(), F.transform(both, lambda s: s["t"] - s["e"]))
+        nis = none if p.innovation is None else form(F.col(p.innovation), p.innovation_covariance, p.dim_y)
+        return F.struct(F.lit(p.name).alias("pair"), error.alias("error"), form(error, p.covariance, p.dim).alias("nees"), nis.alias("nis"))
+
+    wide = rows.select(F.col(by), F.explode(F.array(*[struct(p) for p in pairs])).alias("_p")).where("_p.error is not null")
+    long = wide.select(F.col("_p.pair").alias("pair"), by, F.posexplode("_p.error").alias("component", "error"), "_p.nees", "_p.nis").withColumn("component", F.col("component").cast("long"))
+    # A vector's own scores count once, at its first component.
+    once = lambda c: F.when(F.col("component") == 0, F.col(c))
+    long = long.select("pair", by, "component", "error", once("nees").alias("_nees"), once("nis").alias("_nis"))
+    e, whole = F.col("error"), F.grouping("component") == 1
+    sets = [[F.col("pair")], [F.col("pair"), F.col(by)], [F.col("pair"), F.col("component")], [F.col("pair"), F.col(by), F.col("component")]]
+    out = long.groupingSets(sets, F.col("pair"), F.col(by), F.col("component")).agg(
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(whole, F.avg("_nees")).alias("nees"), F.when(whole, F.avg("_nis")).alias("nis"), F.count("*").alias("n")
+    )
+    return out.select("pair", by, "component", "mse", "mae", "rmse", "nees", "nis", "n")
+
+
+def slack_of(variance: Column, largest: Column) -> Column:
+    """What a variance may lie below 0: fixed values."""
+    return F.greatest(F.lit(1e-12), 1e-6 * largest)
+
+
+def first_offenders(df: DataFrame, variance: Column, by: list[str], place: str, n: int = 5) -> DataFrame:
+    """Groups with strongly negative variances: by, places (the n smallest, in order), n_bad, worst (largest size), slack.
+
+    The largest size of a group and its count come from one aggregate; of the offenders each task keeps its own n first of
+    a group before they are shuffled, so no group is ever gathered. Groups without offenders have no row; nulls don't count.
+    """
+    rows = df.select(*by, F.col(place).alias("_place"), variance.alias("_v"))
+    scale = _renamed(rows.groupBy(*by).agg(slack_of(F.col("_v"), F.max(F.abs("_v"))).alias("slack")), by)
+    bad = rows.where("_v < 0").join(scale, _same(by)).where(F.col("_v") < -F.col("slack")).select(*by, "_place", "_v", "slack")
+    total = _renamed(bad.groupBy(*by).agg(F.count("*").alias("n_bad"), F.max(F.abs("_v")).alias("worst"), F.max("slack").alias("slack")), by)
+    first = bad.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_place", "_v"))).where(F.col("_rank") <= n)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list("_place")).alias("places"))
+    return first.join(total, _same(by)).select(*by, "places", "n_bad", "worst", "slack")
+
+
+def _renamed(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_same_{c}" for c in by})
+
+
+def _same(by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by])
+
+
 def state_part(steps: DataFrame, dim: int, estimate: str = "x_upd", covariance: str = "p_upd") -> DataFrame:
     """The first dim components of truth, estimate and covariance."""
     cut = F.transform(F.slice(F.col(covariance), 1, dim), lambda r: F.slice(r, 1, dim))
@@ -97,15 +175,24 @@ def rolling_mean(df: DataFrame, column: str, width: int, by: list[str], order: s
     return df.withColumn("_n", F.count("*").over(w)).withColumn(f"{column}_mean", F.avg(column).over(w)).where(F.col("_n") == width).drop("_n")
 
 
-def envelope(df: DataFrame, value: Column, variance: Column, by: list[str], sigmas: float = 2.0) -> DataFrame:
+def envelope(df: DataFrame, value: Column, variance: Column, by: list[str], sigmas: float = 2.0, place: str = "k", named: int = 5) -> DataFrame:
     """df with value, lo and hi at sigmas standard deviations.
 
-    A negative variance within max(1e-12, 1e-6 of the largest in its group) counts as 0; a lower one is an error.
+    A negative variance within max(1e-12, 1e-6 of the largest in its group) counts as 0; a lower one is an error that
+    names the group, the slack and the first named places of such rows (0: none, and place isn't read).
     """
-    largest = F.max(F.abs(variance)).over(Window.partitionBy(*by))
-    slack = F.greatest(F.lit(1e-12), 1e-6 * largest)
-    sd = F.sqrt(F.when(variance < -slack, F.raise_error(F.lit("a variance is negative"))).otherwise(F.greatest(variance, F.lit(0.0))))
-    return df.select("*", value.alias("value"), sd.alias("sd")).withColumn("lo", F.col("value") - sigmas * F.col("sd")).withColumn("hi", F.col("value") + sigmas * F.col("sd")).drop("sd")
+    group = Window.partitionBy(*by)
+    slack = slack_of(variance, F.max(F.abs(variance)).over(group))
+    told = [F.lit("a variance is strongly negative")]
+    if named:
+        # The first places one by one, so that no list of a group is held: the number of each offender, then the place of each number.
+        df = df.withColumn("_bad", variance < -slack).withColumn("_number", F.sum(F.col("_bad").cast("int")).over(group.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
+        first = [F.max(F.when(F.col("_bad") & (F.col("_number") == i + 1), F.col(place))).over(group) for i in range(named)]
+        names = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in by]
+        told = [F.concat(F.lit("strongly negative variances in "), F.concat_ws(", ", *names), F.lit(": slack "), slack.cast("string"), F.lit(f", first {place} "), F.array_join(F.filter(F.array(*first), lambda p: p.isNotNull()).cast("array<string>"), ", "))]
+    bad = F.col("_bad") if named else variance < -slack
+    sd = F.sqrt(F.when(bad, F.raise_error(*told)).otherwise(F.greatest(variance, F.lit(0.0))))
+    return df.select("*", value.alias("value"), sd.alias("sd")).withColumn("lo", F.col("value") - sigmas * F.col("sd")).withColumn("hi", F.col("value") + sigmas * F.col("sd")).drop("sd", "_bad", "_number")
 
 
 def diagonals(df: DataFrame, covariance: str, dim: int) -> DataFrame:

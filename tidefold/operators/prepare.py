@@ -17,6 +17,12 @@ def daily_bars(df: DataFrame, series: Column, time: str, tie: str, value: Column
     return df.groupBy(series.alias("series"), F.to_date(time).alias("day")).agg(F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"))
 
 
+def time_bars(df: DataFrame, series: Column, unit: str, time: str, tie: str, value: Column) -> DataFrame:
+    """daily_bars over any unit of date_trunc; day is the unit's beginning."""
+    order = F.struct(time, tie)
+    return df.groupBy(series.alias("series"), F.date_trunc(unit, time).alias("day")).agg(F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"))
+
+
 def stochastic_volatility(bars: DataFrame) -> DataFrame:
     """(series, day, x, y): log variance from the day's range, and the log squared return less its mean under a unit normal.
 

@@ -638,3 +638,6 @@ def _stream_sql(model: Model, method: str) -> str:
 
 for _how in ("epkf", "upkf"):
     add(f"stream_{_how}", lambda s, d, h=_how: stream_steps(s, d, _PARAM, h), _stream_sql(_PARAM, _how))
+
+
+from tidefold.plans import comparisons  # noqa: E402, F401  its queries are added here
