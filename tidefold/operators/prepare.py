@@ -40,6 +40,16 @@ def split_by_day(df: DataFrame, last_train: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("day") <= F.lit(last_train).cast("date")), df.where(F.col("day") > F.lit(last_train).cast("date"))
 
 
+def split_by_year(df: DataFrame, last_train: int) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("year") <= last_train), df.where(F.col("year") > last_train)
+
+
+def scaled_like(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns less train's mean, over train's population standard deviation (plus 1e-8): test rows teach nothing."""
+    stats = train.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    return df.join(F.broadcast(stats), how="cross").select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-8)).alias(c) for c in columns])
+
+
 def ordinal(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """df with k: its place, from 0, in its series."""
     return df.withColumn("k", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))

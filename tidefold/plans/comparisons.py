@@ -11,6 +11,8 @@ from tidefold.plans import models
 from tidefold.plans import sql_text as st
 from tidefold.plans.catalogue import _SV, QUERIES, add, lines, r, rs, table  # noqa: F401
 from tidefold.plans.models import Model
+from tidefold.sources import files
+from tidefold.sources.scratch import scratch
 
 # --- hourly bars: states and observations of table rows ---------------------------------------------------------------
 
@@ -288,3 +290,47 @@ def epkf_learned(spark: SparkSession, sf: str) -> DataFrame:
 
 add("sv_comparison_learned", sv_comparison_learned)
 add("epkf_learned", epkf_learned)
+
+# --- an experiment on index files, from text to scores ----------------------------------------------------------------
+
+#: Last year of training, and the model of both standardised series.
+LAST_TRAIN = 1995
+INDEX_MODEL = models.pairwise_param(b=0.3, q_x=0.5, q_y=1.0)
+#: Missing months in the two formats.
+NO_INDEX, NO_MONTH = -99.9, -999.9
+
+
+def index_files(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Paths of two files made from the tables: mean order prices of each month as lines of nine fields, and mean discounts as years of twelve numbers in the first of two sections."""
+    a = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg((F.avg("o_totalprice") / 1e5).alias("v"))
+    value = F.format_string("%.9f", F.when(F.col("m") == 2, NO_INDEX).otherwise(F.col("v")))
+    one = a.select(F.concat_ws(" ", F.col("y").cast("string"), F.col("m").cast("string"), *[F.lit("0.0")] * 6, value).alias("value"))
+    b = lines(spark, sf).groupBy(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).agg((-F.avg("l_discount")).alias("v"))
+    # As many lines as years: months up to the last one with rows, all that are missing flagged, numbers touching at signs.
+    b = b.groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("m", F.format_string("%.9f", "v")))).alias("of"), F.max("m").alias("last"))
+    b = b.select("y", F.concat(F.col("y").cast("string"), F.lit(" "), F.array_join(F.transform(F.sequence(F.lit(1), "last"), lambda i: F.coalesce(F.col("of")[i], F.lit(str(NO_MONTH)))), "")).alias("value"))
+    head = spark.createDataFrame([(-2, "an index"), (-1, "YEAR   JAN   FEB"), (9998, "YEAR   again"), (9999, "1996 1.0 2.0 3.0")], "y int, value string")
+    paths = scratch(spark, "index"), scratch(spark, "months")
+    one.write.text(paths[0])
+    head.unionByName(b).coalesce(1).sortWithinPartitions("y").select("value").write.text(paths[1])
+    return paths
+
+
+def index_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(year, month, x, y) of months that both files have."""
+    first, second = index_files(spark, sf)
+    return prepare.monthly_join(files.read_index(spark, first), files.read_monthly_block(spark, f"{second}/part-*"))
+
+
+def index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """From files to scores: parse, join, split by year, standardise by the training years, filters and baselines."""
+    rows = index_rows(spark, sf)
+    train = prepare.split_by_year(rows, LAST_TRAIN)[0]
+    scaled = prepare.scaled_like(train, rows, ["x", "y"]).select(F.lit(0).cast("long").alias("series"), "year", F.make_date("year", "month", F.lit(1)).alias("day"), "x", "y")
+    return rounded(contest(*prepare.split_by_year(scaled, LAST_TRAIN), [(m, INDEX_MODEL, m, {}) for m in ("epkf", "upkf")]), "method")
+
+
+_MONTHS = f"""a AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, round(avg(o_totalprice) / 1e5, 9) AS x FROM orders GROUP BY ALL), b AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, round(-avg(l_discount), 9) AS y FROM lineitem GROUP BY ALL), months AS (SELECT year, month, x, y FROM a JOIN b USING (year, month) WHERE month <> 2)"""
+_INDEX = f"{_MONTHS}, tr AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM months WHERE year <= {LAST_TRAIN}), sv AS (SELECT 0 AS series, make_date(year, month, 1) AS day, year, (x - mx) / (sx + 1e-8) AS x, (y - my) / (sy + 1e-8) AS y FROM months, tr)"
+add("index_rows", lambda s, d: rounded(index_rows(s, d)), f"WITH {_MONTHS} SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, {all_of('x AS x', 'y AS y')} FROM months")
+add("index_pipeline", index_pipeline, _contest_sql(_INDEX, INDEX_MODEL, f"year <= {LAST_TRAIN}", f"year > {LAST_TRAIN}"))
