@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.operators.kernels import regularised
+from tidefold.errors import CovarianceError, ParamError
+from tidefold.operators.kernels import regularised, unsound
 
 # Thresholds of the checks.
 SYMMETRY_WARN, SYMMETRY_FAIL = 1e-8, 1e-5
@@ -146,13 +147,118 @@ def matrix_report(df: DataFrame, matrix: str, kind: str = "covariance") -> DataF
     return out.withColumn("is_ok", ~F.exists("checks", lambda c: c["status"] != "OK")).withColumn("is_valid", ~F.exists("checks", lambda c: c["status"] == "FAIL"))
 
 
+def _squares(column: pa.Array):
+    """(rows, stacked matrices) of each size, of a column of matrices; rows that are null, hold a null or aren't square are in none."""
+    sizes: dict[int, tuple[list, list]] = {}
+    for i, m in enumerate(column.to_pylist()):
+        if m and all(r is not None and len(r) == len(m) and None not in r for r in m):
+            rows, some = sizes.setdefault(len(m), ([], []))
+            rows.append(i)
+            some.append(m)
+    return [(np.array(rows), np.array(some, float)) for rows, some in sizes.values()]
+
+
+def _with(df: DataFrame, matrix: str, fields: str, made) -> DataFrame:
+    """df with the columns of fields from made(column of matrices), which gives an Arrow array of each."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made(batch.column(batch.schema.get_field_index(matrix)))], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{schema}, {fields}")
+
+
+def stability(df: DataFrame, matrix: str) -> DataFrame:
+    """df with radius (spectral), smallest (modulus), n_complex, moduli (falling) and status of a square matrix column of any size.
+
+    FAIL: a modulus beyond 1, or no finite square matrix (all else is null then). WARNING: a radius of 0.99 or more, a
+    modulus below 1e-8, or complex eigenvalues. Matrices of a batch are taken together, size by size.
+    """
+
+    def made(column):
+        n = len(column)
+        radius, smallest, several, lists, status = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, np.int64), [None] * n, np.full(n, "FAIL", object)
+        for rows, m in _squares(column):
+            fine = np.isfinite(m).all((1, 2))
+            rows, values = rows[fine], np.linalg.eigvals(m[fine])
+            moduli = -np.sort(-np.abs(values), 1)
+            radius[rows], smallest[rows], several[rows] = moduli[:, 0], moduli[:, -1], (np.abs(values.imag) > 0).sum(1)
+            warn = (moduli[:, 0] >= RADIUS_WARN) | (moduli[:, -1] < EIGEN_ZERO) | (several[rows] > 0)
+            status[rows] = np.where(moduli[:, 0] > 1 + RADIUS_SLACK, "FAIL", np.where(warn, "WARNING", "OK"))
+            for i, x in zip(rows.tolist(), moduli.tolist(), strict=True):
+                lists[i] = x
+        none = np.isnan(radius)
+        return [pa.array(radius, mask=none), pa.array(smallest, mask=none), pa.array(several, mask=none), pa.array(lists, pa.list_(pa.float64())), pa.array(status.tolist(), pa.string())]
+
+    return _with(df, matrix, "radius double, smallest double, n_complex bigint, moduli array<double>, status string", made)
+
+
+def positive(df: DataFrame, matrix: str) -> DataFrame:
+    """df with lowest (eigenvalue of the symmetric part) and positive (whether it is above 0) of a matrix column of any size; null where it is no finite square matrix."""
+
+    def made(column):
+        lowest = np.full(len(column), np.nan)
+        for rows, m in _squares(column):
+            fine = np.isfinite(m).all((1, 2))
+            lowest[rows[fine]] = np.linalg.eigvalsh((m[fine] + np.swapaxes(m[fine], 1, 2)) / 2)[:, 0]
+        none = np.isnan(lowest)
+        return [pa.array(lowest, mask=none), pa.array(lowest > 0, mask=none)]
+
+    return _with(df, matrix, "lowest double, positive boolean", made)
+
+
+def regularise_any(df: DataFrame, matrix: str, epsilon: float | None = None, on_error: str = "status") -> DataFrame:
+    """df with repaired (matrix), epsilon, lowest_before, lowest_after and repair: untouched, repaired or failed.
+
+    A matrix is made symmetric, and epsilon is added to its diagonal: as given, or 0 where its eigenvalues are above 1e-10
+    and its condition below 1e12, or else ten times what heals both. Then it is checked again; one that still isn't a
+    covariance, or isn't finite and square, has failed: repaired is null, or with on_error="raise" an error.
+    """
+    if epsilon is not None and not epsilon > 0:
+        raise ParamError("epsilon must be positive")
+    if on_error not in ("status", "raise"):
+        raise ParamError("on_error is status or raise")
+
+    def made(column):
+        n = len(column)
+        new, eps, before, after, how = [None] * n, np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan), np.full(n, "failed", object)
+        for rows, m in _squares(column):
+            fine = np.isfinite(m).all((1, 2))
+            rows, half = rows[fine], (m[fine] + np.swapaxes(m[fine], 1, 2)) / 2
+            values = np.linalg.eigvalsh(half)
+            low, high = values[:, 0], values[:, -1]
+            if epsilon is None:
+                ill = ~((low > 0) & (high > 0)) | (high >= CONDITION_FAIL * low)
+                add = 10 * np.maximum(np.where(low <= EIGEN_WARN, np.abs(low) + 10 * EIGEN_WARN, 0.0), np.where(ill, high / CONDITION_FAIL - low, 0.0))
+            else:
+                add = np.full(len(low), float(epsilon))
+            healed = half + add[:, None, None] * np.eye(half.shape[1])
+            good = ~unsound(healed) if len(rows) else np.zeros(0, bool)
+            eps[rows], before[rows], after[rows] = add, low, np.linalg.eigvalsh(healed)[:, 0]
+            how[rows] = np.where(~good, "failed", np.where(add == 0, "untouched", "repaired"))
+            for i, x, ok in zip(rows.tolist(), healed.tolist(), good.tolist(), strict=True):
+                new[i] = x if ok else None
+        if on_error == "raise" and (how == "failed").any():
+            i = int(np.flatnonzero(how == "failed")[0])
+            raise CovarianceError(f"a matrix isn't a covariance after adding {eps[i]}: {column[i].as_py()}")
+        none = np.isnan(eps)
+        return [pa.array(new, pa.list_(pa.list_(pa.float64()))), *[pa.array(x, mask=none) for x in (eps, before, after)], pa.array(how.tolist(), pa.string())]
+
+    return _with(df, matrix, "repaired array<array<double>>, epsilon double, lowest_before double, lowest_after double, repair string", made)
+
+
 def regularise(df: DataFrame, matrix: str) -> DataFrame:
-    """df with the matrix column made symmetric and positive."""
+    """df with the matrix column made symmetric and positive, all of a batch together."""
 
     def run(batches):
         for batch in batches:
             place = batch.schema.get_field_index(matrix)
-            new = [None if m is None else regularised(np.array([m], float))[0].tolist() for m in batch.column(place).to_pylist()]
+            new = batch.column(place).to_pylist()
+            for rows, m in _squares(batch.column(place)):
+                for i, x in zip(rows.tolist(), regularised(m).tolist(), strict=True):
+                    new[i] = x
             yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.column(place).type))
 
     return df.mapInArrow(run, df.schema)

@@ -16,6 +16,8 @@ from tidefold.plans.models import Model
 #: Columns of a step: vectors and matrices; s, gain and innov are null for particle filters after the first row.
 VECTORS, MATRICES = ("x_pred", "innov", "x_upd"), ("p_pred", "s", "gain", "p_upd")
 ALL = ("x_pred", "p_pred", "innov", "s", "gain", "x_upd", "p_upd")
+#: Counts a step may give besides: of particle filters, for how many steps in a row no particle has had any weight.
+COUNTS = ("n_degenerate",)
 
 
 def observations(df: DataFrame, key: Column | str, order: list[Column | str], y: list[Column | str], x: list[Column | str] | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ class Fold:
         goes_on = self.state is not None and keys[0] == self.key
         streams = streams_of([keys[i] for i in first])
         dims = {"x_pred": (m.dim_x,), "x_upd": (m.dim_x,), "innov": (m.dim_y,), "p_pred": (m.dim_x,) * 2, "p_upd": (m.dim_x,) * 2, "s": (m.dim_y,) * 2, "gain": (m.dim_x, m.dim_y)}
-        out = {c: np.full((n, *d), np.nan) for c, d in dims.items()}
+        out = {c: np.full((n, *d), np.nan) for c, d in dims.items()} | {c: np.zeros(n, np.int64) for c in COUNTS}
         k, status = np.zeros(n, np.int64), np.zeros(n, np.int8)
         fresh = np.arange(len(first)) >= int(goes_on)
         begin = first + fresh  # fresh series' first rows are done by start()
@@ -60,6 +62,8 @@ class Fold:
             state = self.state if state is None else _joined(self.state, state)
         # Longest first, so that the series still running are always a front part.
         left = size - fresh
+        if self.limit is not None:  # what comes after isn't filtered
+            left = np.minimum(left, np.maximum(self.limit - state.k, 0))
         order = np.argsort(-left, kind="stable")
         state, begin, left, streams = state.take(order), begin[order], left[order], streams[order]
         for t in range(int(left[0]) if len(left) else 0):
@@ -77,7 +81,13 @@ class Fold:
                 raise ERRORS[int(new.status[bad])](f"series {keys[rows[bad]]!r}, step {int(new.k[bad])}")
         last = int(np.flatnonzero(order == len(first) - 1)[0])
         self.key, self.state = keys[-1], state.take(slice(last, last + 1))
-        keep = np.arange(n) if self.limit is None else np.flatnonzero(k <= self.limit)
+        keep = np.arange(n)
+        if self.limit is not None:
+            done = np.zeros(n, bool)
+            done[first[fresh]] = True
+            for at, m in zip(begin.tolist(), left.tolist(), strict=True):
+                done[at : at + m] = True
+            keep = np.flatnonzero(done)
         return keep, k, status, out
 
 
@@ -152,7 +162,7 @@ def filter_each(df: DataFrame, entrants: dict[float, list[tuple[str, Model, str,
 def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output: tuple[str, ...] = ("x_pred", "p_pred", "innov", "s", "gain", "x_upd", "p_upd"), limit: int | None = None, on_error: str = "raise", missing: str = "raise", **options) -> DataFrame:
     """Filters observations(...): series, k (from 0), x_true, y, status and the columns of output.
 
-    limit: the last k (so limit + 1 rows). on_error: raise, or skip to give NaN and a status from the failing row on.
+    limit: the last k (so limit + 1 rows); later rows aren't filtered. output may have n_degenerate as well. on_error: raise, or skip to give NaN and a status from the failing row on.
     missing: raise on a null y, or drop such rows. Rows are shuffled once, by series; within a task all series of a batch
     advance together, and a series longer than a batch goes on from its state, so one long series needs no more memory.
     A row's place is its order among the series' rows; ties in the order columns should be broken by the caller.
@@ -161,7 +171,7 @@ def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output:
         raise ParamError("limit must be a positive integer")
     if on_error not in ("raise", "skip") or missing not in ("raise", "drop"):
         raise ParamError("on_error is raise or skip, missing is raise or drop")
-    if unknown := set(output) - set(ALL):
+    if unknown := set(output) - {*ALL, *COUNTS}:
         raise ParamError(f"there is no column {sorted(unknown)[0]!r}")
     kernel = build(method, model, **options)
     order = [c for c in df.columns if c.startswith("ord_")]
@@ -169,7 +179,7 @@ def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output:
     rows = df.where(~empty) if missing == "drop" else df.withColumn("y", F.when(empty, F.raise_error(F.lit("an observation is null"))).otherwise(F.col("y")))
     rows = rows.repartition("series").sortWithinPartitions("series", *order).select("series", "x_true", "y")
     key_type = df.schema["series"].dataType.simpleString()
-    kinds = {c: "array<double>" if c in VECTORS else "array<array<double>>" for c in output}
+    kinds = {c: "bigint" if c in COUNTS else "array<double>" if c in VECTORS else "array<array<double>>" for c in output}
     particles = method in ("pf", "ppf")
 
     def run(batches):

@@ -5,6 +5,7 @@ Each method is a class: prepare at construction, start() from the first observat
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,11 @@ from tidefold.functions.rng import normals, uniforms
 from tidefold.operators import sigma
 from tidefold.plans.models import Model
 
+log = logging.getLogger(__name__)
 OK, BAD_COVARIANCE, BAD_INNOVATION = 0, 1, 2
+# What fails as a covariance or as a matrix to invert, and how many steps without weights in a row are told.
+WORST_CONDITION, WORST_ASYMMETRY, LEAST_DETERMINANT, WORST_RESIDUAL = 1e12, 1e-5, 1e-15, 1e-5
+MOST_LOST = 5
 ERRORS = {BAD_COVARIANCE: CovarianceError, BAD_INNOVATION: InvertibilityError}
 
 
@@ -52,6 +57,34 @@ def regularised(p: np.ndarray) -> np.ndarray:
     return p + 10 * need[:, None, None] * np.eye(p.shape[-1])
 
 
+def unsound(p: np.ndarray) -> np.ndarray:
+    """Which finite matrices are no covariances: asymmetric, an eigenvalue or diagonal element that isn't positive, or a condition of 1e12 or worse."""
+    values = np.linalg.eigvalsh(symmetric(p))
+    low, high = values[:, 0], values[:, -1]
+    out = (low <= 0) | (np.einsum("nii->ni", p) <= 0).any(1)
+    if p.shape[-1] > 1:
+        top = np.abs(p).max((1, 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out |= (high >= WORST_CONDITION * low) | (np.abs(p - np.swapaxes(p, 1, 2)).max((1, 2)) > WORST_ASYMMETRY * top)
+    return out
+
+
+def invertible(s: np.ndarray) -> np.ndarray:
+    """Which matrices can be inverted: finite, of full rank, not too small a determinant, a condition below 1e12, and an inverse that gives the identity."""
+    fine = np.isfinite(s).all((1, 2))
+    safe = np.where(fine[:, None, None], s, np.eye(s.shape[1]))
+    fine &= np.abs(np.linalg.det(safe)) > LEAST_DETERMINANT
+    if s.shape[1] > 1:
+        values = np.linalg.svd(safe, compute_uv=False)
+        fine &= values[:, 0] < WORST_CONDITION * values[:, -1]
+        # Below this condition the residual is far from its bound.
+        odd = np.flatnonzero(fine & (values[:, 0] > 1e8 * values[:, -1]))
+        if len(odd):
+            left = np.eye(s.shape[1]) - safe[odd] @ np.linalg.inv(safe[odd])
+            fine[odd] = np.linalg.norm(left, axis=(1, 2)) < WORST_RESIDUAL
+    return fine
+
+
 def factor(p: np.ndarray) -> np.ndarray:
     """Lower Cholesky factors; where one fails, of p with 1e-12 added to its diagonal, and at last of its nearest positive part."""
     try:
@@ -102,8 +135,7 @@ class Gaussian:
             z, p = self.predict(state)
             innov, s, cross = y - z[:, k:], p[:, k:, k:], p[:, :k, k:]
             status = state.status.copy()
-            det = np.abs(np.linalg.det(s))
-            fine = np.isfinite(s).all((1, 2)) & (det > 1e-15)
+            fine = invertible(s)
             status[(status == OK) & ~fine] = BAD_INNOVATION
             safe = np.where(fine[:, None, None], s, np.eye(s.shape[1]))
             gain = np.swapaxes(np.linalg.solve(np.swapaxes(safe, 1, 2), np.swapaxes(cross, 1, 2)), 1, 2)
@@ -114,9 +146,9 @@ class Gaussian:
             status[(status == OK) & ~finite] = BAD_COVARIANCE
             after = np.where(finite[:, None, None], after, np.eye(k))
             if self.model.form != "augmented":
-                low = np.linalg.eigvalsh(symmetric(after))[:, 0]
-                if (low <= 0).any():
-                    after = np.where((low <= 0)[:, None, None], regularised(after), after)
+                ill = unsound(after)
+                if ill.any():
+                    after = np.where(ill[:, None, None], regularised(after), after)
         bad = status != OK
         if bad.any():
             x, after = np.where(bad[:, None], np.nan, x), np.where(bad[:, None, None], np.nan, after)
@@ -301,8 +333,11 @@ class Particles(Gaussian):
             weights[few] = 1 / self.n
         status = state.status.copy()
         status[(status == OK) & ~np.isfinite(p).all((1, 2))] = BAD_COVARIANCE
-        new = State(x, p, y.copy(), state.k + 1, status, {"cloud": cloud, "weights": weights, "lost": np.where(lost, state.more["lost"] + 1, 0)})
-        return new, {"x_pred": x_pred, "p_pred": p_pred, "innov": None, "s": None, "gain": None, "x_upd": x, "p_upd": p}
+        run = np.where(lost, state.more["lost"] + 1, 0)
+        if (run == MOST_LOST + 1).any():
+            log.error("no particle of %d series has had any weight for %d steps, the last of them step %s", int((run == MOST_LOST + 1).sum()), MOST_LOST + 1, int(state.k[run == MOST_LOST + 1][0]) + 1)
+        new = State(x, p, y.copy(), state.k + 1, status, {"cloud": cloud, "weights": weights, "lost": run})
+        return new, {"x_pred": x_pred, "p_pred": p_pred, "innov": None, "s": None, "gain": None, "x_upd": x, "p_upd": p, "n_degenerate": run}
 
 
 class PairwiseParticles(Particles):
@@ -343,3 +378,10 @@ def build(method: str, model: Model, **options) -> Gaussian:
     if extra:
         raise ParamError(f"{method} has no option {sorted(extra)[0]!r}")
     return METHODS[method](model, **options)
+
+
+def register(name: str, kernel: type[Gaussian], options: tuple[str, ...] = ()) -> None:
+    """Adds a filter of one's own: a class of the kind above, and the names of its options. A name that is taken is an error."""
+    if name in METHODS:
+        raise ParamError(f"filter {name!r} exists")
+    METHODS[name], _OPTIONS[name] = kernel, tuple(options)

@@ -151,6 +151,12 @@ def _same(by: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by])
 
 
+def degenerate_runs(steps: DataFrame, by: str = "series") -> DataFrame:
+    """(by, first, last, length) of runs of steps without any weight, from n_degenerate of a particle filter: islands of k less its place."""
+    lost = steps.where("n_degenerate > 0").withColumn("_island", F.col("k") - F.row_number().over(Window.partitionBy(by).orderBy("k")))
+    return lost.groupBy(by, "_island").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("length")).drop("_island")
+
+
 def state_part(steps: DataFrame, dim: int, estimate: str = "x_upd", covariance: str = "p_upd") -> DataFrame:
     """The first dim components of truth, estimate and covariance."""
     cut = F.transform(F.slice(F.col(covariance), 1, dim), lambda r: F.slice(r, 1, dim))

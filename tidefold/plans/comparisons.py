@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.operators import learned, metrics, prepare, sigma, simulate
+from tidefold.operators import diagnostics, learned, metrics, prepare, sigma, simulate
 from tidefold.operators.filters import filter_each, filter_series, observations
 from tidefold.plans import models
 from tidefold.plans import sql_text as st
@@ -334,3 +334,26 @@ _MONTHS = f"""a AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS mont
 _INDEX = f"{_MONTHS}, tr AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM months WHERE year <= {LAST_TRAIN}), sv AS (SELECT 0 AS series, make_date(year, month, 1) AS day, year, (x - mx) / (sx + 1e-8) AS x, (y - my) / (sy + 1e-8) AS y FROM months, tr)"
 add("index_rows", lambda s, d: rounded(index_rows(s, d)), f"WITH {_MONTHS} SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, {all_of('x AS x', 'y AS y')} FROM months")
 add("index_pipeline", index_pipeline, _contest_sql(_INDEX, INDEX_MODEL, f"year <= {LAST_TRAIN}", f"year > {LAST_TRAIN}"))
+
+# --- matrices of any size ---------------------------------------------------------------------------------------------
+
+_NINE = ("l_quantity / 50", "l_discount * 4", "l_tax * 5")
+
+
+def three_by_three(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's second moments of three scaled columns, without its diagonal's last element where its key is even."""
+    cells = [[F.avg(F.expr(a) * F.expr(b)) for b in _NINE] for a in _NINE]
+    rows = lines(spark, sf).groupBy("l_suppkey").agg(*[cells[i][j].alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
+    c = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}") * (1.5 if i < j else 1.0)
+    last = F.when(F.col("l_suppkey") % 2 == 0, 0.0).otherwise(F.col("c22"))
+    return rows.select("l_suppkey", F.array(*[F.array(*[last if (i, j) == (2, 2) else c(i, j) for j in range(3)]) for i in range(3)]).alias("m"))
+
+
+# Eigenvalues of 3x3 matrices: roots of the cubic, by its trigonometric form, or where two are complex by its real one.
+_M3 = "m AS (SELECT l_suppkey, " + ", ".join(f"avg({a} * {b}) AS c{i}{j}" for i, a in enumerate(_NINE) for j, b in enumerate(_NINE) if i <= j) + " FROM lineitem GROUP BY l_suppkey), z AS (SELECT l_suppkey, c00, 1.5e0 * c01 AS u, c01 AS v, 1.5e0 * c02 AS w, c02 AS x, c11, 1.5e0 * c12 AS y, c12 AS t, CASE WHEN l_suppkey % 2 = 0 THEN 0.0e0 ELSE c22 END AS d FROM m)"
+_CUBIC = f"{_M3}, k AS (SELECT *, c00 + c11 + d AS a, c00 * c11 - u * v + c00 * d - w * x + c11 * d - y * t AS b, c00 * (c11 * d - y * t) - u * (v * d - y * x) + w * (v * t - c11 * x) AS det FROM z), p AS (SELECT *, a * a / 9 - b / 3 AS q, a * a * a / 27 - a * b / 6 + det / 2 AS r FROM k), g AS (SELECT *, acos(greatest(-1, least(1, r / (q * sqrt(q))))) / 3 AS th FROM p), e AS (SELECT *, a / 3 + 2 * sqrt(q) * cos(th) AS e0, a / 3 + 2 * sqrt(q) * cos(th + 2 * pi() / 3) AS e1, a / 3 + 2 * sqrt(q) * cos(th - 2 * pi() / 3) AS e2, r * r > q * q * q AS odd, sign(r) * cbrt(abs(r) + sqrt(greatest(r * r - q * q * q, 0))) AS root FROM g), f AS (SELECT l_suppkey, odd, CASE WHEN odd THEN abs(a / 3 + root + q / root) ELSE abs(e0) END AS m0, CASE WHEN odd THEN sqrt(pow(a / 3 - (root + q / root) / 2, 2) + 0.75e0 * pow(root - q / root, 2)) ELSE abs(e1) END AS m1, CASE WHEN NOT odd THEN abs(e2) END AS m2 FROM e)"
+add("stability_any", lambda s, d: rounded(diagnostics.stability(three_by_three(s, d), "m").select("l_suppkey", "radius", "n_complex", "status")), f"WITH {_CUBIC}, h AS (SELECT *, greatest(m0, m1, coalesce(m2, 0)) AS radius, least(m0, m1, coalesce(m2, m1)) AS small FROM f) SELECT l_suppkey, {rs('radius')} AS radius, CAST(CASE WHEN odd THEN 2 ELSE 0 END AS BIGINT) AS n_complex, CASE WHEN radius > 1 + 1e-10 THEN 'FAIL' WHEN radius >= 0.99 OR small < 1e-8 OR odd THEN 'WARNING' ELSE 'OK' END AS status FROM h")
+# The symmetric part's eigenvalues, all real.
+_SYM = "m AS (SELECT l_suppkey, " + ", ".join(f"avg({a} * {b}) AS c{i}{j}" for i, a in enumerate(_NINE) for j, b in enumerate(_NINE) if i <= j) + " FROM lineitem GROUP BY l_suppkey), z AS (SELECT l_suppkey, c00, 1.25e0 * c01 AS u, 1.25e0 * c02 AS w, c11, 1.25e0 * c12 AS y, CASE WHEN l_suppkey % 2 = 0 THEN 0.0e0 ELSE c22 END AS d FROM m), p AS (SELECT *, (c00 + c11 + d) / 3 AS q FROM z), s AS (SELECT *, sqrt(((c00 - q) * (c00 - q) + (c11 - q) * (c11 - q) + (d - q) * (d - q) + 2 * (u * u + w * w + y * y)) / 6) AS p FROM p), g AS (SELECT *, acos(greatest(-1, least(1, ((c00 - q) * ((c11 - q) * (d - q) - y * y) - u * (u * (d - q) - y * w) + w * (u * y - (c11 - q) * w)) / (2 * p * p * p)))) / 3 AS th FROM s), e AS (SELECT *, q + 2 * p * cos(th) AS high, q + 2 * p * cos(th + 2 * pi() / 3) AS low FROM g)"
+add("positive_any", lambda s, d: rounded(diagnostics.positive(three_by_three(s, d), "m").select("l_suppkey", "lowest", "positive")), f"WITH {_SYM} SELECT l_suppkey, {rs('low')} AS lowest, low > 0 AS positive FROM e")
+add("regularise_any", lambda s, d: rounded(diagnostics.regularise_any(three_by_three(s, d), "m").select("l_suppkey", "epsilon", "lowest_before", "lowest_after", "repair")), f"WITH {_SYM}, h AS (SELECT *, CASE WHEN low <= 1e-10 THEN 10 * greatest(abs(low) + 1e-9, CASE WHEN low <= 0 OR high >= 1e12 * low THEN high / 1e12 - low ELSE 0 END) ELSE 0 END AS eps FROM e) SELECT l_suppkey, {all_of('eps AS epsilon', 'low AS lowest_before', 'low + eps AS lowest_after')}, CASE WHEN eps = 0 THEN 'untouched' ELSE 'repaired' END AS repair FROM h")
