@@ -122,7 +122,8 @@ def test_own_filter(spark):
 
 def test_failures_are_errors_of_their_kind(spark):
     obs = observations(spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.2)], "series bigint, k bigint, v double"), "series", ["k"], ["v"])
-    model = models.pairwise_param().with_(noise=np.full((2, 2), np.nan))
+    # A step whose prediction is too large for doubles.
+    model = models.pairwise_param().with_(step=lambda fn, x, y, t, u: ([1e200 * x[0] * x[0] + t[0]], [1e200 * x[0] * x[0] + u[0]]), mean=np.array([1e9, 0.0]))
     with pytest.raises(Exception, match="InvertibilityError|CovarianceError"):
         filter_series(obs, model, "epkf").collect()
     assert issubclass(CovarianceError, Exception)

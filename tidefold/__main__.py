@@ -9,15 +9,14 @@ import tomllib
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tidefold.errors import ParamError, TidefoldError
-from tidefold.operators import metrics, sigma
-from tidefold.operators.filters import filter_series
+from tidefold.operators import sigma
 from tidefold.operators.kernels import METHODS, RESAMPLERS
-from tidefold.operators.simulate import as_observations, simulate, wide
+from tidefold.operators.simulate import simulate, wide
 from tidefold.plans import models
-from tidefold.sources.files import default_name, read_table, save_steps, series_of, write_csv
+from tidefold.runs import Run, RunOptions
+from tidefold.sources.files import default_name, text_table, write_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--sigma-set", choices=sigma.names(), default="wan2000")
             c.add_argument("--particles", type=int, default=300)
             c.add_argument("--resampling", choices=RESAMPLERS, default="stratified")
+            c.add_argument("--latex", action="store_true", help="scores as a LaTeX table")
         else:
             c.add_argument("--without-x", action="store_true")
     return p
@@ -54,21 +54,18 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
         raise ParamError("give either --steps or --data")
     given = dict(p.split("=", 1) for p in args.param if "=" in p)
     model = models.create(args.model, **{k: float(v) for k, v in given.items()})
-    spark = spark or SparkSession.builder.appName("tidefold").getOrCreate()
     if args.command == "simulate":
         if args.steps is None:
             raise ParamError("give --steps")
+        spark = spark or SparkSession.builder.appName("tidefold").getOrCreate()
         rows = wide(simulate(spark, model, args.steps, args.series, args.seed), model.dim_x, model.dim_y, args.without_x)
         write_csv(rows.orderBy("series", "k").drop("series", "k") if args.series == 1 else rows, args.out or default_name(args.model, model.linear))
         return 0
-    options = {"upkf": {"sigma_set": args.sigma_set}, "ukf": {"sigma_set": args.sigma_set}} | {m: {"n_particles": args.particles, "resampling": args.resampling, "seed": args.seed} for m in ("pf", "ppf")}
-    source = as_observations(simulate(spark, model, args.steps, args.series, args.seed)) if args.data is None else series_of(read_table(spark, args.data), model.dim_x, model.dim_y)
-    steps = filter_series(source, model, args.method, **options.get(args.method, {}))
-    if args.out:
-        save_steps(steps, args.out, args.model, args.method)
-        steps = spark.read.parquet(f"{args.out}/model={args.model}/method={args.method}")
-    scores = metrics.errors(steps).select(*[F.round(c, 6).alias(c) for c in ("mse", "mae", "rmse")], "n")
-    scores.show()
+    settings = {"upkf": {"sigma_set": args.sigma_set}, "ukf": {"sigma_set": args.sigma_set}} | {m: {"n_particles": args.particles, "resampling": args.resampling, "seed": args.seed} for m in ("pf", "ppf")}
+    wanted = RunOptions(args.verbose, args.out is not None, args.out)
+    one = Run(args.method, model, args.steps, args.data, args.series, args.seed, wanted, settings=settings.get(args.method, {}))
+    spark = spark or SparkSession.builder.appName("tidefold").getOrCreate()
+    print(text_table(one.scores(spark), latex=args.latex, digits=6))
     return 0
 
 

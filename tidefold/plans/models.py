@@ -35,6 +35,27 @@ class Model:
     A: np.ndarray | None = None
     B: np.ndarray | None = None
 
+    def __post_init__(self):
+        """Sizes that fit, and covariances that may be ones: checked for every model, and again after every change by with_."""
+        if self.dim_x < 1 or self.dim_y < 1:
+            raise ParamError(f"{self.name}: a model has at least one state and one observation")
+        if self.form not in ("classic", "pairwise", "augmented"):
+            raise ParamError(f"{self.name}: there is no form {self.form!r}")
+        n = self.dim
+        for what, size in (("noise", (n, n)), ("prior", (n, n)), ("mean", (n,)), ("A", (n, n)), ("B", (n, n))):
+            value = getattr(self, what)
+            if value is not None and np.shape(value) != size:
+                raise ParamError(f"{self.name}: {what} is of size {np.shape(value)}, not {size}")
+            if value is not None and not np.isfinite(value).all():
+                raise ParamError(f"{self.name}: {what} isn't finite")
+        if (self.A is None) != (self.B is None):
+            raise ParamError(f"{self.name}: A and B come together")
+        for what in ("noise", "prior"):
+            m = getattr(self, what)
+            top = np.abs(m).max()
+            if np.abs(m - m.T).max() > 1e-5 * top or np.linalg.eigvalsh((m + m.T) / 2)[0] < -1e-10 * top:
+                raise ParamError(f"{self.name}: {what} is no covariance")
+
     @property
     def linear(self) -> bool:
         return self.A is not None
@@ -115,8 +136,18 @@ class Model:
         return r"\begin{aligned}" + r" \\ ".join(f"{a} &= {Latex.of(b).text}" for a, b in rows) + r"\end{aligned}"
 
     def with_(self, **changes: Any) -> Model:
+        """A copy with changes, checked as a new model is."""
         return replace(self, **changes)
 
+    def summary(self) -> str:
+        """Name, form and sizes; of a linear model also the moduli of A's eigenvalues and whether it is stable; noise, mean and prior."""
+        rows = [f"{self.name}: {'linear' if self.linear else 'nonlinear'}, {self.form}, {self.dim_x} state(s), {self.dim_y} observation(s)"]
+        if self.linear:
+            moduli = np.sort(np.abs(np.linalg.eigvals(self.A)))[::-1]
+            rows.append(f"eigenvalues of A: moduli {', '.join(f'{v:.4f}' for v in moduli)}; {'stable' if moduli[0] < 1 else 'not stable'}")
+        show = lambda m: "[" + "; ".join(" ".join(f"{v:.4g}" for v in np.atleast_1d(r)) for r in m) + "]"
+        return "\n".join([*rows, *[f"{what}: {show(getattr(self, what))}" for what in ("noise", "mean", "prior")]])
+
 
 def _classic(name: str, f, h, dim_x: int, dim_y: int, covariances) -> Model:
     """f(fn, x, t), h(fn, x, u)."""
