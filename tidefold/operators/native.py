@@ -1,6 +1,7 @@
 """Filters of one state and one observation as built-in array folds, and the gain table of linear models: no Python in the tasks.
 
-A fold gathers a series into one row, so it is for series that fit there; filter_series has no such limit.
+A fold gathers a series into one row and copies its steps as they grow, so only series of at most LONGEST rows are folded;
+longer ones go through filter_series, which gives the same columns.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 
 from tidefold.errors import FilterError, ParamError
 from tidefold.functions.algebra import COLUMNS
+from tidefold.operators.filters import filter_series
 from tidefold.operators.kernels import Gaussian, Linear
 from tidefold.plans.models import Model
 
 
+#: Rows of a series that are folded in one row.
+LONGEST = 1000
+
+
 def _let(values: dict[str, Column], then) -> Column:
     """then(struct of values), each value computed once."""
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then)[0]
@@ -24,10 +30,28 @@ def _wide(c) -> Column:
     return c if isinstance(c, Column) else F.lit(float(c))
 
 
-def native_filter(observed: DataFrame, model: Model) -> DataFrame:
-    """series, k, y, x_pred, innov, s, x_upd, p_upd by the extended filter (on a linear model the linear one)."""
+def native_filter(observed: DataFrame, model: Model, longest: int = LONGEST) -> DataFrame:
+    """series, k, y, x_pred, innov, s, x_upd, p_upd by the extended filter (on a linear model the linear one).
+
+    Series are counted first; those of more than longest rows are filtered batch by batch, the others are folded. A null
+    series is one of its own.
+    """
     if (model.dim_x, model.dim_y) != (1, 1) or model.form == "augmented":
         raise FilterError("native folds are for models of one state and one observation")
+    if longest < 1:
+        raise ParamError("longest must be positive")
+    long = observed.groupBy(F.col("series").alias("_long")).count().where(F.col("count") > longest).select("_long")
+    if long.isEmpty():
+        return _folded(observed, model)
+    same = F.col("series").eqNullSafe(F.col("_long"))
+    steps = filter_series(observed.join(long, same, "left_semi"), model, "epkf", output=("x_pred", "innov", "s", "x_upd", "p_upd"))
+    one = lambda c: F.col(c)[0].alias(c)
+    two = lambda c: F.col(c)[0][0].alias(c)
+    rest = steps.select("series", "k", one("y"), one("x_pred"), one("innov"), two("s"), one("x_upd"), two("p_upd"))
+    return _folded(observed.join(long, same, "left_anti"), model).unionByName(rest)
+
+
+def _folded(observed: DataFrame, model: Model) -> DataFrame:
     order = [c for c in observed.columns if c.startswith("ord_")]
     rows = observed.groupBy("series").agg(F.sort_array(F.collect_list(F.struct(*order, F.col("y")[0].alias("v")))).alias("rows"))
     gain = model.prior[0, 1] / model.prior[1, 1]

@@ -44,7 +44,8 @@ def with_cumulative(df: DataFrame, group: str, order: str, weight: Column) -> Da
 def resample(df: DataFrame, group: str, order: str, weight: Column, method: str, seed: int = 0) -> DataFrame:
     """(group, draw, chosen): as many draws as the group has rows; chosen is the place of the row drawn.
 
-    Draws meet intervals in an equi-join on the group with a range condition; each draw meets one interval.
+    Interval ends and draws of a group are sorted together, and each draw takes the smallest place that an end beyond it
+    has: one more sort in the same task, so a group of n rows costs n log n and streams.
     """
     if method not in METHODS:
         raise ParamError(f"there is no resampling method {method!r}")
@@ -60,13 +61,16 @@ def resample(df: DataFrame, group: str, order: str, weight: Column, method: str,
         rows = rows.withColumn("high", F.when(F.col("place") == F.col("n") - 1, 1.0).otherwise(F.col("_part"))).withColumn("low", F.coalesce(F.lag("high").over(w.orderBy(order)), F.lit(0.0)))
     else:
         rows = rows.withColumn("_sure", F.lit(0))
-    groups = rows.groupBy(group).agg(F.max("n").alias("n"), F.max("_sure").alias("_sure"))
-    draws = groups.select(group, "n", F.explode(F.sequence(F.col("_sure").cast("long"), F.col("n").cast("long") - 1)).alias("draw"), F.col("_sure").alias("_s"))
-    own = F.lit(0).cast("long") if method == "systematic" else F.col("draw") - F.col("_s")
+    # A group has as many draws as rows, so each row brings its interval and the draw of its place.
+    draw = F.col("place").cast("long")
+    own = F.lit(0).cast("long") if method == "systematic" else draw - F.col("_sure")
     u = uniform_column(F.lit(seed), F.col(group), own)
     spaced = method in ("systematic", "stratified")
-    draws = draws.select(group, "draw", ((F.col("draw") + u) / F.col("n") if spaced else u).alias("u"))
-    # Spaced draws take the first interval that ends beyond them, others the first that ends at or beyond.
-    hit = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")) if spaced else ((F.col("u") > F.col("low")) | ((F.col("u") == 0) & (F.col("low") == 0))) & (F.col("u") <= F.col("high"))
-    chosen = draws.join(rows.select(F.col(group).alias("_g"), "place", "low", "high"), (F.col(group) == F.col("_g")) & hit).select(group, "draw", F.col("place").cast("long").alias("chosen"))
+    at = (draw + u) / F.col("n") if spaced else u
+    # Spaced draws take ends beyond them, others ends at them too: at the same value draws come first, or last.
+    first = F.struct(F.col("high").alias("at"), F.lit(spaced).alias("late"), F.col("place").alias("place"), F.lit(None).cast("long").alias("draw"))
+    second = F.when(F.col("place") >= F.col("_sure"), F.struct(at.alias("at"), F.lit(not spaced).alias("late"), F.lit(None).cast("int").alias("place"), draw.alias("draw")))
+    both = rows.select(group, F.explode(F.array(first, second)).alias("_x")).where("_x is not null").select(group, "_x.*")
+    passed = F.min("place").over(Window.partitionBy(group).orderBy(F.desc("at"), "late").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = both.withColumn("chosen", passed.cast("long")).where("draw is not null").select(group, "draw", "chosen")
     return chosen.union(sure) if method == "residual" else chosen
