@@ -22,7 +22,7 @@ DEALT = 8
 #: Tokens that a task holds back, so that there are pieces of all lengths for the gaps.
 RESERVE = 1 << 18
 #: Bytes of whole texts that are encoded at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 2 << 20
 
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 other, 2 ASCII letter, 3 full stop or comma
 _KIND[~NON_BLANK_BYTES] = 0
@@ -37,7 +37,7 @@ class Tokens:
     Texts that hold a special token's name are encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = 120_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
