@@ -618,26 +618,39 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------------------------------
 
 
+def live_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of observations."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    y = (F.col("value") - 20) / 20
+    # A pattern, so that a single file does as well as a folder of them; a few files make a micro-batch.
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")
+    return observations(live, "user_id", ["ts", "event_id"], [y])
+
+
 def stream_steps(spark: SparkSession, sf: str, model: Model, method: str) -> DataFrame:
     """The events as a stream, through the filter, into Parquet in the shared folder."""
     from tidefold.sources.scratch import scratch
     from tidefold.streaming.filters import run_available, stream_filter
 
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    y = (F.col("value") - 20) / 20
-    # A pattern, so that a single file does as well as a folder of them.
-    live = observations(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"), "user_id", ["ts", "event_id"], [y])
-    out = run_available(stream_filter(live, model, method), scratch(spark, "stream"), scratch(spark, "stream-state"))
+    out = run_available(stream_filter(live_events(spark, sf), model, method), scratch(spark, "stream"), scratch(spark, "stream-state"))
     return flat(out, model, extra=False)
 
 
+def stream_typed(spark: SparkSession, sf: str, model: Model) -> DataFrame:
+    """The same with typed state."""
+    from tidefold.sources.scratch import scratch
+    from tidefold.streaming.stateful import run_available_typed, stream_filter_typed
+
+    return flat(run_available_typed(stream_filter_typed(live_events(spark, sf), model), scratch(spark, "stream"), scratch(spark, "stream-state")), model, extra=False)
+
+
 def _stream_sql(model: Model, method: str) -> str:
     return f"SELECT user_id, k, x_0, p_0_0 FROM ({flat_sql(model, method)})"
 
 
 for _how in ("epkf", "upkf"):
     add(f"stream_{_how}", lambda s, d, h=_how: stream_steps(s, d, _PARAM, h), _stream_sql(_PARAM, _how))
+add("stream_typed", lambda s, d: stream_typed(s, d, _PARAM), _stream_sql(_PARAM, "epkf"))
 
 
 from tidefold.plans import comparisons  # noqa: E402, F401  its queries are added here
