@@ -81,11 +81,16 @@ def random_covariance(n: int, bound: float, seed: int = 0) -> np.ndarray:
     return m * (bound / np.abs(m).max())
 
 
-def model_covariances(dim_x: int, dim_y: int, bound: float, prior_bound: float | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(noise covariance, prior mean, prior covariance): fixed ones for the library's models, else random ones within the bounds, from seed."""
+def model_covariances(dim_x: int, dim_y: int, bound: float, prior_bound: float | None = None, seed: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(noise covariance, prior mean, prior covariance): the fixed ones of the library's models; with a seed random ones within the bounds.
+
+    Without a seed, sizes and bounds that no model of the library has are an error.
+    """
     prior_bound = bound if prior_bound is None else prior_bound
-    fixed = _COVARIANCES.get((dim_x, dim_y, bound, prior_bound))
-    if fixed:
+    if seed is None:
+        fixed = _COVARIANCES.get((dim_x, dim_y, bound, prior_bound))
+        if not fixed:
+            raise ParamError(f"there are no fixed covariances of {dim_x} states and {dim_y} observations within {bound} and {prior_bound}; give a seed for random ones")
         return _symmetric(fixed[0]), np.array(_MEANS[dim_x, dim_y]), _symmetric(fixed[1])
     n = dim_x + dim_y
     return random_covariance(n, bound, seed), np.random.default_rng(seed + 1).standard_normal(n), random_covariance(n, prior_bound, seed + 2)

@@ -170,6 +170,17 @@ def bar_sigma_matrix(spark: SparkSession, sf: str) -> DataFrame:
 _SETS = [f"{key} AS (SELECT series, {rs('mse')} AS {key} FROM ({steps_sql(HOURS, OBS_1, HOUR_MODEL, 'upkf', key)} SELECT series, avg({_ERR} * {_ERR}) AS mse FROM e GROUP BY series))" for key in sigma.names()]
 add("bar_sigma_matrix", bar_sigma_matrix, f"WITH {', '.join(_SETS)} SELECT series, {', '.join(sigma.names())} FROM {sigma.names()[0]}" + "".join(f" JOIN {k} USING (series)" for k in sigma.names()[1:]))
 
+
+def augmented_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Extended and unscented filters of the augmented model, scored on the state's own part. No SQL: the unscented one takes roots of 2x2 matrices."""
+    rows = hour_rows(spark, sf, True).withColumn("value", F.lit(0.0))
+    steps = filter_each(rows, {0.0: [(m, WIDE_MODEL, m, {}) for m in ("epkf", "ukf")]}, output=("x_upd", "p_upd"))
+    scored = metrics.with_nees(metrics.state_part(steps, 1), 1).withColumn("_e", F.col("x_true")[0] - F.col("x_upd")[0])
+    return rounded(scored.groupBy("method").agg(F.avg(F.col("_e") * F.col("_e")).alias("mse"), F.avg(F.abs("_e")).alias("mae"), F.avg("nees").alias("nees"), F.count("*").alias("n")), "method")
+
+
+add("augmented_filters", augmented_filters)
+
 # --- pairs of columns, offenders --------------------------------------------------------------------------------------
 
 
