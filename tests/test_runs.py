@@ -68,7 +68,7 @@ def test_every_model_holds_its_own_checks(name):
     assert m.with_(name="other").name == "other" and m.summary().startswith(name)
     n = m.dim
     bad = [{"noise": np.eye(n + 1)}, {"noise": -np.eye(n)}, {"prior": np.eye(n) + np.triu(np.ones((n, n)), 1)}, {"mean": np.zeros(n + 1)}, {"mean": np.full(n, np.nan)}, {"form": "other"}, {"dim_y": 0}]
-    bad += [{"A": None}] if m.linear else [{"A": np.eye(n)}]
+    bad += [{"A": None}, {"A": 1.01 * np.eye(n)}] if m.linear else [{"A": np.eye(n)}]
     for change in bad:
         with pytest.raises(ParamError):
             m.with_(**change)

@@ -50,6 +50,8 @@ class Model:
                 raise ParamError(f"{self.name}: {what} isn't finite")
         if (self.A is None) != (self.B is None):
             raise ParamError(f"{self.name}: A and B come together")
+        if self.A is not None and np.abs(np.linalg.eigvals(self.A)).max() > 1 + 1e-10:
+            raise ParamError(f"{self.name}: the transition isn't stable")
         for what in ("noise", "prior"):
             m = getattr(self, what)
             top = np.abs(m).max()
