@@ -59,29 +59,29 @@ def regularised(p: np.ndarray) -> np.ndarray:
 
 def unsound(p: np.ndarray) -> np.ndarray:
     """Which finite matrices are no covariances: asymmetric, an eigenvalue or diagonal element that isn't positive, or a condition of 1e12 or worse."""
+    if p.shape[-1] == 1:
+        return p[:, 0, 0] <= 0
     values = np.linalg.eigvalsh(symmetric(p))
     low, high = values[:, 0], values[:, -1]
-    out = (low <= 0) | (np.einsum("nii->ni", p) <= 0).any(1)
-    if p.shape[-1] > 1:
-        top = np.abs(p).max((1, 2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out |= (high >= WORST_CONDITION * low) | (np.abs(p - np.swapaxes(p, 1, 2)).max((1, 2)) > WORST_ASYMMETRY * top)
-    return out
+    top = np.abs(p).max((1, 2))
+    skew = np.abs(p - np.swapaxes(p, 1, 2)).max((1, 2)) > WORST_ASYMMETRY * top
+    return (low <= 0) | (np.einsum("nii->ni", p) <= 0).any(1) | (high >= WORST_CONDITION * low) | skew
 
 
 def invertible(s: np.ndarray) -> np.ndarray:
     """Which matrices can be inverted: finite, of full rank, not too small a determinant, a condition below 1e12, and an inverse that gives the identity."""
+    if s.shape[1] == 1:
+        size = np.abs(s[:, 0, 0])
+        return (size > LEAST_DETERMINANT) & (size < np.inf)
     fine = np.isfinite(s).all((1, 2))
     safe = np.where(fine[:, None, None], s, np.eye(s.shape[1]))
-    fine &= np.abs(np.linalg.det(safe)) > LEAST_DETERMINANT
-    if s.shape[1] > 1:
-        values = np.linalg.svd(safe, compute_uv=False)
-        fine &= values[:, 0] < WORST_CONDITION * values[:, -1]
-        # Below this condition the residual is far from its bound.
-        odd = np.flatnonzero(fine & (values[:, 0] > 1e8 * values[:, -1]))
-        if len(odd):
-            left = np.eye(s.shape[1]) - safe[odd] @ np.linalg.inv(safe[odd])
-            fine[odd] = np.linalg.norm(left, axis=(1, 2)) < WORST_RESIDUAL
+    values = np.linalg.svd(safe, compute_uv=False)
+    fine &= (np.prod(values, 1) > LEAST_DETERMINANT) & (values[:, 0] < WORST_CONDITION * values[:, -1])
+    # Below this condition the residual is far from its bound.
+    odd = np.flatnonzero(fine & (values[:, 0] > 1e8 * values[:, -1]))
+    if len(odd):
+        left = np.eye(s.shape[1]) - safe[odd] @ np.linalg.inv(safe[odd])
+        fine[odd] = np.linalg.norm(left, axis=(1, 2)) < WORST_RESIDUAL
     return fine
 
 
