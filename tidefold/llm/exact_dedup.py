@@ -39,7 +39,7 @@ def _judged(docs: DataFrame, *, id_col: str, text_col: str, prefix_chars: int, b
     elif few:
         rows = stored(keyed.join(alive, found, "left").select("_id", "_digest", F.when(survives, whole).alias("_full"), survives.alias("_survives"), F.monotonically_increasing_id().alias("_row")), "dedup-rows")
     else:
-        # Only the keys are shuffled here, and then whole texts of survivors are read and hashed where they lie: a row's place is known by id and digest.
+        # Survivors are told by short keys, but to find them again rows are joined by id and digest, and their texts are shuffled with them.
         slim = stored(keyed.select("_id", "_digest", "_len", "_prefix").join(alive, found, "left").groupBy("_id", "_digest").agg(F.max(survives).alias("_survives")).withColumnsRenamed({"_id": "_sid", "_digest": "_sd"}), "dedup-survivors")
         again = keyed.join(slim, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_digest") == F.col("_sd")))
         rows = stored(again.select("_id", "_digest", F.when(F.col("_survives"), whole).alias("_full"), "_survives", F.monotonically_increasing_id().alias("_row")), "dedup-rows")
@@ -55,8 +55,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row for each row of docs: id, keep_id, group_size, kept, and with digest text_sha256 of every text.
 
     Rows are first grouped by length, groups of two or more by the hash of their first prefix_chars characters, and only
-    what is left in groups of two or more is compared by the hash of the whole. Only these short keys are shuffled, never
-    texts, but where more than broadcast_keys keys survive: then the rows are joined with them by id and digest. Rows of
+    what is left in groups of two or more is compared by the hash of the whole. Only these short keys are shuffled, not
+    texts, but where more than broadcast_keys keys survive and no digest is asked for: then rows are joined with them by
+    id and digest, and texts are shuffled along. Rows of
     large groups find their group by broadcast, rows of small ones by a shuffle.
 
     Null texts equal empty ones. The row with the smallest id stays; null ids come last, and of rows with the same id one
