@@ -38,3 +38,15 @@ def normal_column(*parts: Column) -> Column:
     """A standard normal number from two uniform ones."""
     a, b = uniform_column(*parts, F.lit("a")), uniform_column(*parts, F.lit("b"))
     return F.sqrt(-2.0 * F.log(1.0 - a)) * F.cos(2.0 * np.pi * b)
+
+
+def spawned(seed: int, n: int) -> list[int]:
+    """n further seeds from one, the same each time, all different and none of them seed itself: for runs beside each other."""
+    out: list[int] = []
+    at = np.zeros(1, np.uint64)
+    while len(out) < n:
+        at = _spread(at + np.uint64((seed * 0x9E3779B97F4A7C15 + len(out) + 1) % 2**64))
+        new = int(at[0] >> np.uint64(1))
+        if new != seed and new not in out:
+            out.append(new)
+    return out
