@@ -59,28 +59,12 @@ class Fold:
                 out[c][rows] = v
             state = started
         if goes_on:
-            state = self.state if state is None else _joined(self.state, state)
-        # Longest first, so that the series still running are always a front part.
+            state = self.state if state is None else joined(self.state, state)
         left = size - fresh
         if self.limit is not None:  # what comes after isn't filtered
             left = np.minimum(left, np.maximum(self.limit - state.k, 0))
-        order = np.argsort(-left, kind="stable")
-        state, begin, left, streams = state.take(order), begin[order], left[order], streams[order]
-        for t in range(int(left[0]) if len(left) else 0):
-            live = int(np.searchsorted(-left, -(t + 1), "right"))
-            rows = begin[:live] + t
-            part = state.take(slice(0, live))
-            new, made = self.kernel.step(part, y[rows], streams[:live])
-            state.put(slice(0, live), new)
-            for c, v in made.items():
-                if v is not None:
-                    out[c][rows] = v
-            k[rows], status[rows] = new.k, new.status
-            if self.on_error == "raise" and (new.status != OK).any():
-                bad = int(np.flatnonzero(new.status != OK)[0])
-                raise ERRORS[int(new.status[bad])](f"series {keys[rows[bad]]!r}, step {int(new.k[bad])}")
-        last = int(np.flatnonzero(order == len(first) - 1)[0])
-        self.key, self.state = keys[-1], state.take(slice(last, last + 1))
+        state = advanced(self.kernel, state, streams, begin, left, keys, y, self.on_error, k, status, out)
+        self.key, self.state = keys[-1], state.take(slice(len(first) - 1, None))
         keep = np.arange(n)
         if self.limit is not None:
             done = np.zeros(n, bool)
@@ -91,7 +75,27 @@ class Fold:
         return keep, k, status, out
 
 
-def _joined(a: State, b: State) -> State:
+def advanced(kernel: Gaussian, state: State, streams: np.ndarray, begin: np.ndarray, left: np.ndarray, keys: np.ndarray, y: np.ndarray, on_error: str, k: np.ndarray, status: np.ndarray, out: dict) -> State:
+    """Series i goes from state[i] through left[i] rows of y from begin[i] on, all series together; k, status and out are filled by row."""
+    # Longest first, so that the series still running are always a front part.
+    order = np.argsort(-left, kind="stable")
+    state, begin, left, streams = state.take(order), begin[order], left[order], streams[order]
+    for t in range(int(left[0]) if len(left) else 0):
+        live = int(np.searchsorted(-left, -(t + 1), "right"))
+        rows = begin[:live] + t
+        new, made = kernel.step(state.take(slice(0, live)), y[rows], streams[:live])
+        state.put(slice(0, live), new)
+        for c, v in made.items():
+            if v is not None and c in out:
+                out[c][rows] = v
+        k[rows], status[rows] = new.k, new.status
+        if on_error == "raise" and (new.status != OK).any():
+            bad = int(np.flatnonzero(new.status != OK)[0])
+            raise ERRORS[int(new.status[bad])](f"series {keys[rows[bad]]!r}, step {int(new.k[bad])}")
+    return state.take(np.argsort(order))
+
+
+def joined(a: State, b: State) -> State:
     both = lambda u, v: np.concatenate([u, v])
     return State(both(a.x, b.x), both(a.p, b.p), both(a.y, b.y), both(a.k, b.k), both(a.status, b.status), {c: both(a.more[c], b.more[c]) for c in a.more})
 

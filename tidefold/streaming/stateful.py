@@ -5,27 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidefold.operators.filters import streams_of
-from tidefold.operators.kernels import ERRORS, OK, Gaussian, State, build
+from tidefold.operators.kernels import Gaussian, build
 from tidefold.plans.models import Model
-from tidefold.streaming.filters import LATE, run_available
+from tidefold.streaming.filters import BUCKET_STATE, BUCKETS, Bucket, advance, bucketed, run_available, vectors
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ESTIMATE = "k bigint, x array<double>, p array<double>, y array<double>, status int, last array<bigint>, cloud array<double>, weights array<double>, lost bigint"
 
 
 class FilterProcessor(StatefulProcessor):
-    """Advances one series by the rows of a micro-batch.
+    """Advances all series of a bucket by the rows of a micro-batch.
 
-    State: estimate (the last step, with particles where the method has some) and late (how many rows came too late).
+    State, for each series: the last step (with particles where the method has some), how many rows came too late, and
+    the time of its last rows. A timer goes off when the bucket's longest idle series is to be forgotten.
     """
 
     def __init__(self, kernel: Gaussian, order: list[str], on_error: str, idle_ms: int | None):
@@ -33,71 +29,55 @@ class FilterProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.estimate = handle.getValueState("estimate", _ESTIMATE)
-        self.late = handle.getValueState("late", "n bigint")
-
-    def _load(self) -> tuple[State | None, tuple]:
-        if not self.estimate.exists():
-            return None, ()
-        k, x, p, y, status, last, cloud, weights, lost = self.estimate.get()
-        n = self.kernel.model.dim_x
-        more = {"cloud": np.array(cloud, float).reshape(1, -1, n), "weights": np.array(weights, float).reshape(1, -1), "lost": np.array([lost])} if cloud is not None and len(cloud) else {}
-        return State(np.array([x], float), np.array(p, float).reshape(1, n, n), np.array([y], float), np.array([k]), np.array([status], np.int8), more), tuple(last)
-
-    def _save(self, s: State, last: tuple) -> None:
-        more = s.more
-        flat = lambda c: more[c][0].ravel().tolist() if c in more else []
-        self.estimate.update((int(s.k[0]), s.x[0].tolist(), s.p[0].ravel().tolist(), s.y[0].tolist(), int(s.status[0]), [int(v) for v in last], flat("cloud"), flat("weights"), int(more["lost"][0]) if "lost" in more else 0))
+        self.bucket = handle.getValueState("bucket", BUCKET_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        state, last = self._load()
-        late = self.late.get()[0] if self.late.exists() else 0
-        stream = streams_of([key[0]])
-        table = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        places, seen = table[self.order].to_numpy(np.int64), np.stack(table["y"].to_numpy()).astype(float)
-        out = []
-        for place, y in zip(map(tuple, places.tolist()), seen, strict=True):
-            if state is not None and place <= last:
-                late += 1
-                out.append((key[0], None, y.tolist(), LATE, None, None, late))
-                continue
-            state, made = self.kernel.start(y[None], stream) if state is None else self.kernel.step(state, y[None], stream)
-            last = place
-            if state.status[0] != OK and self.on_error == "raise":
-                raise ERRORS[int(state.status[0])](f"series {key[0]!r}, step {int(state.k[0])}")
-            out.append((key[0], int(state.k[0]), y.tolist(), int(state.status[0]), made["x_upd"][0].tolist(), made["p_upd"][0].tolist(), late))
-        self._save(state, last)
-        self.late.update((late,))
+    def _load(self) -> Bucket | None:
+        saved = self.bucket.get() if self.bucket.exists() else None
+        return Bucket.unpacked(saved, self.kernel.model.dim_x, self.kernel.model.dim_y) if saved is not None else None
+
+    def _save(self, bucket: Bucket, now: int) -> None:
+        """Series that have been idle for too long are left out, and the timer is set to when the next one is."""
         if self.idle_ms:
+            bucket = bucket.since(now - self.idle_ms)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=["series", "k", "y", "status", "x_upd", "p_upd", "n_late"]).astype({"k": "Int64"})
+        if bucket is None:
+            self.bucket.clear()
+            return
+        self.bucket.update(bucket.packed())
+        if self.idle_ms:
+            self.handle.registerTimer(int(bucket.seen.min()) + self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        bucket, made = advance(self.kernel, self._load(), pd.concat(list(rows)), self.order, self.on_error, now)
+        self._save(bucket, now)
+        yield made
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.estimate.clear()
-        self.late.clear()
+        bucket = self._load()
+        if bucket is not None:
+            self._save(bucket, timerValues.getCurrentProcessingTimeInMs())
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def stream_filter_typed(df: DataFrame, model: Model, method: str = "epkf", *, on_error: str = "raise", idle_ms: int | None = None, **options) -> DataFrame:
+def stream_filter_typed(df: DataFrame, model: Model, method: str = "epkf", *, on_error: str = "raise", idle_ms: int | None = None, buckets: int = BUCKETS, **options) -> DataFrame:
     """series, k, y, status, x_upd, p_upd and n_late for a streaming table of observations(...): a row for each input row.
 
     A micro-batch's rows of a series are sorted; one at or before the last that was filtered is late: null k, status LATE,
     counted in n_late, and nothing else changes. The result equals the batch filter's where no row is late, however rows
-    are dealt to micro-batches. A task holds one series' rows of a micro-batch, so bound these (maxFilesPerTrigger).
+    are dealt to micro-batches. Series are dealt into buckets by hash, and those of a bucket advance together: a task
+    holds a bucket's rows of a micro-batch, so bound these (maxFilesPerTrigger) or take more buckets.
     idle_ms: a series without rows for so long is forgotten, and begins anew; such a stream doesn't end by itself, so
     give it only to streams that run on. The state store must be RocksDB: see typed_state.
     """
     kernel = build(method, model, **options)
-    order = [c for c in df.columns if c.startswith("ord_")]
-    as_number = {c: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(df.schema[c].dataType, T.TimestampType | T.TimestampNTZType) else F.col(c).cast("long") for c in order}
-    rows = df.select("series", *[as_number[c].alias(c) for c in order], "y")
-    schema = f"series {df.schema['series'].dataType.simpleString()}, k bigint, y array<double>, status int, x_upd array<double>, p_upd array<array<double>>, n_late bigint"
-    return rows.groupBy("series").transformWithStateInPandas(FilterProcessor(kernel, order, on_error, idle_ms), schema, "append", "ProcessingTime" if idle_ms else "None")
+    rows, order, schema = bucketed(df, model, buckets)
+    made = rows.groupBy("bucket").transformWithStateInPandas(FilterProcessor(kernel, order, on_error, idle_ms), schema, "append", "ProcessingTime" if idle_ms else "None")
+    return vectors(made, model, "n_late")
 
 
 @contextmanager
