@@ -7,6 +7,7 @@ import pytest
 from oracle import rows
 from pyspark.sql import functions as F
 
+from tidefold.operators import weights
 from tidefold.operators.filters import filter_series, observations
 from tidefold.operators.kernels import Extended
 from tidefold.plans import catalogue, models
@@ -80,3 +81,15 @@ def test_idle_series_of_a_bucket_are_forgotten():
     bucket, _ = advance(kernel, None, table, ["ord_0"], "raise", 1000)
     bucket, _ = advance(kernel, bucket, table.iloc[:1].assign(ord_0=1), ["ord_0"], "raise", 1500)
     assert sorted(bucket.names) == ["1", "2"] and bucket.since(1000).names == ["1"] and bucket.since(1500) is None
+
+
+@pytest.mark.parametrize("method", weights.METHODS)
+def test_resampling_takes_more_tasks_for_more_rows(spark, monkeypatch, method):
+    """A thousand rows at ten rows a task are dealt over 100 tasks, and give what they give in the session's four."""
+    df = spark.range(1000).select((F.col("id") % 300).alias("g"), "id", (1.0 + F.col("id") % 7).alias("w"))
+    run = lambda: weights.resample(df, "g", "id", F.col("w"), method, seed=2)
+    few = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(weights.dealt, "__defaults__", (10,))
+    many = run()
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 1000
+    assert many.where("draw >= 0").rdd.getNumPartitions() >= 100

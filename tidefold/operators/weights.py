@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidefold.errors import ParamError
 from tidefold.functions.rng import uniform_column
+from tidefold.operators.filters import partitions_of
 
 METHODS = ("multinomial", "systematic", "stratified", "residual")
+#: Rows of a task that sorts whole groups, on average; about 500 bytes of memory each in resample.
+ROWS_A_TASK = 250_000
 
 
 def effective_size(df: DataFrame, group: str, weight: Column) -> DataFrame:
@@ -41,15 +44,27 @@ def with_cumulative(df: DataFrame, group: str, order: str, weight: Column) -> Da
     return out.withColumn("low", F.coalesce(F.lag("high").over(w.orderBy(order)), F.lit(0.0))).drop("_sum")
 
 
+def dealt(df: DataFrame, group: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """df dealt by group over as many tasks as its number of rows needs, which is counted first; a small df is left as it is.
+
+    The session's number of shuffle partitions is fixed, so without this a task's rows would grow with the input.
+    """
+    n = df.count()
+    if n <= rows_a_task:
+        return df
+    return df.repartition(max(-(-n // rows_a_task), min(partitions_of(df), -(-10 * n // rows_a_task))), group)
+
+
 def resample(df: DataFrame, group: str, order: str, weight: Column, method: str, seed: int = 0) -> DataFrame:
     """(group, draw, chosen): as many draws as the group has rows; chosen is the place of the row drawn.
 
     Interval ends and draws of a group are sorted together, and each draw takes the smallest place that an end beyond it
-    has: one more sort in the same task, so a group of n rows costs n log n and streams.
+    has: one more sort in the same task, so a group of n rows costs n log n and streams. Tasks grow in number with the
+    rows, not in size; df is counted for this, so one that is dear to compute is better stored before.
     """
     if method not in METHODS:
         raise ParamError(f"there is no resampling method {method!r}")
-    rows = with_cumulative(df.select(group, order, weight.alias("_w")), group, order, F.col("_w"))
+    rows = with_cumulative(dealt(df.select(group, order, weight.alias("_w")), group), group, order, F.col("_w"))
     if method == "residual":
         w = Window.partitionBy(group)
         rows = rows.withColumn("copies", F.floor(F.col("n") * F.col("weight")).cast("int"))
