@@ -9,7 +9,7 @@ from tidefold.streaming.filters import stream_filter
 from tidefold.streaming.stateful import stream_filter_typed, typed_state
 
 
-@pytest.mark.parametrize("kind", ["typed"])
+@pytest.mark.parametrize("kind", ["upkf", "typed"])
 def test_state_has_a_row_a_bucket(spark, tmp_path, kind):
     table = spark.range(900).select((F.col("id") % 300).alias("series"), F.floor(F.col("id") / 300).alias("k"), F.sin("id").alias("v"))
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
