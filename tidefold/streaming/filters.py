@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefold.errors import ParamError
-from tidefold.operators.filters import advanced, joined, streams_of
+from tidefold.operators.filters import advanced, joined, partitions_of, streams_of
 from tidefold.operators.kernels import Gaussian, State, build
 from tidefold.plans.models import Model
 
@@ -183,8 +184,24 @@ def stream_filter(df: DataFrame, model: Model, method: str = "epkf", *, on_error
     return vectors(rows.groupBy("bucket").applyInPandasWithState(step, schema, BUCKET_STATE, "append", "ProcessingTimeTimeout" if timeout else "NoTimeout"), model)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all input at hand into Parquet at path, and reads that."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Within it, the session's key has this value, which streams that start keep; the one before comes back after."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> DataFrame:
+    """Runs a stream over all input at hand into Parquet at path, and reads that.
+
+    State is dealt over no more tasks than there are buckets: others would be empty, and each costs a Python worker and a
+    state store at every micro-batch. A checkpoint keeps its number.
+    """
+    with setting(stream.sparkSession, "spark.sql.shuffle.partitions", str(min(partitions_of(stream), buckets))):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidefold.operators.kernels import Gaussian, build
 from tidefold.plans.models import Model
-from tidefold.streaming.filters import BUCKET_STATE, BUCKETS, Bucket, advance, bucketed, run_available, vectors
+from tidefold.streaming.filters import BUCKET_STATE, BUCKETS, Bucket, advance, bucketed, run_available, setting, vectors
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,7 +70,7 @@ def stream_filter_typed(df: DataFrame, model: Model, method: str = "epkf", *, on
     A micro-batch's rows of a series are sorted; one at or before the last that was filtered is late: null k, status LATE,
     counted in n_late, and nothing else changes. The result equals the batch filter's where no row is late, however rows
     are dealt to micro-batches. Series are dealt into buckets by hash, and those of a bucket advance together: a task
-    holds a bucket's rows of a micro-batch, so bound these (maxFilesPerTrigger) or take more buckets.
+    holds a bucket's rows of a micro-batch, so bound these (maxBytesPerTrigger) or take more buckets.
     idle_ms: a series without rows for so long is forgotten, and begins anew; such a stream doesn't end by itself, so
     give it only to streams that run on. The state store must be RocksDB: see typed_state.
     """
@@ -83,15 +83,11 @@ def stream_filter_typed(df: DataFrame, model: Model, method: str = "epkf", *, on
 @contextmanager
 def typed_state(spark: SparkSession):
     """Within it, streams that start keep their state in RocksDB, which typed state needs; the session's setting comes back after."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
+    with setting(spark, PROVIDER, ROCKS):
         yield
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-def run_available_typed(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_available_typed(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> DataFrame:
     """run_available for typed state. A new checkpoint begins anew; the same one goes on from where it was."""
     with typed_state(stream.sparkSession):
-        return run_available(stream, path, checkpoint)
+        return run_available(stream, path, checkpoint, buckets)
