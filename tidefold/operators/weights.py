@@ -12,6 +12,8 @@ from tidefold.operators.filters import partitions_of
 METHODS = ("multinomial", "systematic", "stratified", "residual")
 #: Rows of a task that sorts whole groups, on average; about 500 bytes of memory each in resample.
 ROWS_A_TASK = 250_000
+#: Up to so many parts (spark.shuffle.sort.bypassMergeThreshold) a task that deals rows writes each at once; beyond, it sorts them by part in memory.
+UNSORTED_PARTS = 200
 
 
 def effective_size(df: DataFrame, group: str, weight: Column) -> DataFrame:
@@ -47,12 +49,18 @@ def with_cumulative(df: DataFrame, group: str, order: str, weight: Column) -> Da
 def dealt(df: DataFrame, group: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """df dealt by group over as many tasks as its number of rows needs, which is counted first; a small df is left as it is.
 
-    The session's number of shuffle partitions is fixed, so without this a task's rows would grow with the input.
+    The session's number of shuffle partitions is fixed, so without this a task's rows would grow with the input. Rows of
+    more parts than are written unsorted are dealt twice: a file split of well compressed rows may have tens of millions,
+    and a task that reads one would sort them all by part; dealt before, the tasks that sort have equal shares.
     """
     n = df.count()
     if n <= rows_a_task:
         return df
-    return df.repartition(max(-(-n // rows_a_task), min(partitions_of(df), -(-10 * n // rows_a_task))), group)
+    parts = max(-(-n // rows_a_task), min(partitions_of(df), -(-10 * n // rows_a_task)))
+    if parts > UNSORTED_PARTS:
+        # By another hash, so that a share's rows go on to all parts; as a column of its own, since Spark makes one of two adjoining deals.
+        df = df.withColumn("_share", F.xxhash64(group)).repartition(UNSORTED_PARTS, "_share").drop("_share")
+    return df.repartition(parts, group)
 
 
 def resample(df: DataFrame, group: str, order: str, weight: Column, method: str, seed: int = 0) -> DataFrame:
