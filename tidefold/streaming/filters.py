@@ -21,6 +21,8 @@ from tidefold.plans.models import Model
 LATE = 9
 #: Series are dealt into so many buckets by hash; a bucket's series advance together. A checkpoint keeps its number.
 BUCKETS = 64
+#: Tasks that deal a slice of arriving(...).
+SLICE_TASKS = 32
 #: A bucket's state: for each series its name, last step, last place, count of late rows and the time of its last rows.
 BUCKET_STATE = "names array<string>, k array<bigint>, x array<double>, p array<double>, y array<double>, status array<int>, last array<bigint>, late array<bigint>, seen array<bigint>, cloud array<double>, weights array<double>, lost array<bigint>"
 
@@ -205,3 +207,19 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, buckets: int =
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def arriving(df: DataFrame, order: list[str], rows: int, slices: str, live: str) -> Iterator[DataFrame]:
+    """A table as a stream that comes in its order, whatever files hold it: the stream of the folder live, once for each slice of about so many rows.
+
+    A row in a later micro-batch than a later one of its series is late, and files needn't follow the order. So rows are dealt
+    by range of the order columns into Parquet at slices, and slices are appended to live one at a time. Run the stream over
+    all input at hand each time it is given, with one checkpoint: a run takes one slice, as one micro-batch, and goes on from
+    the states of the one before. Work and space follow the table, a micro-batch doesn't.
+    """
+    spark, n = df.sparkSession, max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(n * SLICE_TASKS, *order).withColumn("slice", F.floor(F.spark_partition_id() / SLICE_TASKS).cast("int"))
+    dealt.write.partitionBy("slice").parquet(slices)
+    for i in range(n):
+        spark.read.parquet(slices).where(F.col("slice") == i).select(*df.columns).write.mode("append").parquet(live)
+        yield spark.readStream.schema(df.schema).parquet(live)

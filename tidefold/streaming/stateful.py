@@ -70,7 +70,7 @@ def stream_filter_typed(df: DataFrame, model: Model, method: str = "epkf", *, on
     A micro-batch's rows of a series are sorted; one at or before the last that was filtered is late: null k, status LATE,
     counted in n_late, and nothing else changes. The result equals the batch filter's where no row is late, however rows
     are dealt to micro-batches. Series are dealt into buckets by hash, and those of a bucket advance together: a task
-    holds a bucket's rows of a micro-batch, so bound these (maxBytesPerTrigger) or take more buckets.
+    holds a bucket's rows of a micro-batch, so bound these (maxBytesPerTrigger, or arriving() where rows must come in order) or take more buckets.
     idle_ms: a series without rows for so long is forgotten, and begins anew; such a stream doesn't end by itself, so
     give it only to streams that run on. The state store must be RocksDB: see typed_state.
     """
