@@ -166,7 +166,8 @@ def filter_each(df: DataFrame, entrants: dict[float, list[tuple[str, Model, str,
 def filter_series(df: DataFrame, model: Model, method: str = "epkf", *, output: tuple[str, ...] = ("x_pred", "p_pred", "innov", "s", "gain", "x_upd", "p_upd"), limit: int | None = None, on_error: str = "raise", missing: str = "raise", **options) -> DataFrame:
     """Filters observations(...): series, k (from 0), x_true, y, status and the columns of output.
 
-    limit: the last k (so limit + 1 rows); later rows aren't filtered. output may have n_degenerate as well. on_error: raise, or skip to give NaN and a status from the failing row on.
+    limit: the last k (so limit + 1 rows); later rows aren't filtered. output may have n_degenerate as well. on_error: raise, or skip to give NaN and a status from the failing row on
+    (with epkf's guards=False what arithmetic gives, and a status).
     missing: raise on a null y, or drop such rows. Rows are shuffled once, by series; within a task all series of a batch
     advance together, and a series longer than a batch goes on from its state, so one long series needs no more memory.
     A row's place is its order among the series' rows; ties in the order columns should be broken by the caller.

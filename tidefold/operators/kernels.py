@@ -110,11 +110,15 @@ class Gaussian:
     def __init__(self, model: Model):
         self.model = model
 
+    def first_gain(self) -> np.ndarray:
+        k, prior = self.model.dim_x, self.model.prior
+        cross, own = prior[:k, k:], prior[k:, k:]
+        return np.linalg.solve(own.T, cross.T).T if np.linalg.matrix_rank(own) == len(own) else cross @ np.linalg.pinv(own)
+
     def start(self, y: np.ndarray, streams: np.ndarray) -> tuple[State, dict]:
         m, n = self.model, len(y)
         k = m.dim_x
-        cross, own = m.prior[:k, k:], m.prior[k:, k:]
-        gain = np.linalg.solve(own.T, cross.T).T if np.linalg.matrix_rank(own) == len(own) else cross @ np.linalg.pinv(own)
+        cross, gain = m.prior[:k, k:], self.first_gain()
         x = m.mean[:k] + (y - m.mean[k:]) @ gain.T
         p = np.broadcast_to(m.prior[:k, :k] - gain @ cross.T, (n, k, k)).copy()
         state = State(x, p, y.copy(), np.zeros(n, np.int64), np.zeros(n, np.int8), self.extra(n, streams))
@@ -157,7 +161,43 @@ class Gaussian:
 
 
 class Extended(Gaussian):
-    """Extended filter; on a linear model it is the linear one."""
+    """Extended filter; on a linear model it is the linear one.
+
+    Without guards (nonlinear models of one state and one observation): sums in the order of the filter's SQL, and nothing made
+    sound or NaN. Where a series diverges its rounding grows, so only the same sums in the same order give SQL's digits. The
+    status still tells, from the first estimate that isn't finite or whose covariance isn't positive on.
+    """
+
+    def __init__(self, model: Model, guards: bool = True):
+        super().__init__(model)
+        if not guards and (model.linear or (model.dim_x, model.dim_y) != (1, 1)):
+            raise FilterError("only nonlinear models of one state and one observation go without guards")
+        self.guards = guards
+
+    def first_gain(self) -> np.ndarray:
+        k, prior = self.model.dim_x, self.model.prior
+        return super().first_gain() if self.guards else prior[:k, k:] @ np.linalg.pinv(prior[k:, k:])
+
+    def step(self, state: State, y: np.ndarray, streams: np.ndarray) -> tuple[State, dict]:
+        return super().step(state, y, streams) if self.guards else self.unguarded(state, y)
+
+    def unguarded(self, state: State, y: np.ndarray) -> tuple[State, dict]:
+        m, two = self.model, range(2)
+        with np.errstate(all="ignore"):
+            z, by_z, by_v = m.jacobians_numpy(np.concatenate([state.x, state.y], 1))
+            a, b = [by_z[:, i, 0] for i in two], [[by_v[:, i, j] for j in two] for i in two]
+            q = [[sum(b[i][c] * m.noise[c, e] * b[j][e] for c in two for e in two if m.noise[c, e]) for j in two] for i in two]
+            ap = [a[i] * state.p[:, 0, 0] for i in two]
+            h = [[ap[i] * a[j] + q[i][j] for j in two] for i in two]
+            innov = y[:, 0] - z[:, 1]
+            gain = h[0][1] * (1 / h[1][1])
+            x = z[:, 0] + gain * innov
+            p = h[0][0] - gain * h[1][0] - h[0][1] * gain + gain * h[1][1] * gain
+        status = state.status.copy()
+        status[(status == OK) & ~(np.isfinite(x) & (p > 0) & (p < np.inf))] = BAD_COVARIANCE
+        vector, matrix = lambda v: v[:, None], lambda v: v[:, None, None]
+        out = {"x_pred": z[:, :1], "p_pred": matrix(h[0][0]), "innov": vector(innov), "s": matrix(h[1][1]), "gain": matrix(gain), "x_upd": vector(x), "p_upd": matrix(p)}
+        return State(out["x_upd"], out["p_upd"], y.copy(), state.k + 1, status), out
 
     def predict(self, state: State) -> tuple[np.ndarray, np.ndarray]:
         m, k = self.model, self.model.dim_x
@@ -368,7 +408,7 @@ class PairwiseParticles(Particles):
 
 
 METHODS = {"pkf": Linear, "epkf": Extended, "upkf": Unscented, "ukf": UnscentedClassic, "pf": Particles, "ppf": PairwiseParticles}
-_OPTIONS = {"pkf": (), "epkf": (), "upkf": ("sigma_set", "alpha", "beta", "kappa"), "ukf": ("sigma_set", "alpha", "beta", "kappa"), "pf": ("n_particles", "resampling", "threshold", "clip", "seed"), "ppf": ("n_particles", "resampling", "threshold", "clip", "seed")}
+_OPTIONS = {"pkf": (), "epkf": ("guards",), "upkf": ("sigma_set", "alpha", "beta", "kappa"), "ukf": ("sigma_set", "alpha", "beta", "kappa"), "pf": ("n_particles", "resampling", "threshold", "clip", "seed"), "ppf": ("n_particles", "resampling", "threshold", "clip", "seed")}
 
 
 def build(method: str, model: Model, **options) -> Gaussian:
